@@ -59,7 +59,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("digest"))
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    misses = rows.select("digest", "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    misses = rows.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache)
     # runs side by side may both append an entry: they agree, and one is read
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
