@@ -33,15 +33,6 @@ def tokenizer_version(name: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-class Kept(dict):
-    """A dictionary that looks in ``more`` for what it doesn't keep."""
-
-    more: dict = {}
-
-    def __missing__(self, key):
-        return self.more[key]
-
-
 class ChunkEncoder:
     """Encodes texts by a ``tokenizers`` file without added special tokens.
 
@@ -51,14 +42,15 @@ class ChunkEncoder:
     texts with other runs of white space are encoded as they are.
     """
 
-    def __init__(self, name: str, spaced: bool, part: str = "<|endoftext|>", limit: int = 400_000):
+    def __init__(self, name: str, spaced: bool, part: str = "<|endoftext|>", limit: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(tokenizer_path(name))
         self.spaced, self.part, self.limit = spaced, part, limit
         self.part_id = self.tok.token_to_id(part)
-        self.cache, self.words = Kept(), Kept()
+        self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -76,6 +68,8 @@ class ChunkEncoder:
 
     def _parts(self, chunk: str) -> tuple[str, ...] | None:
         """The chunk's pre-tokens where they are plain to see."""
+        if chunk.isascii() and chunk.isalpha():
+            return (chunk if self.spaced else chunk.lower(),)
         if not (m := WORD.fullmatch(chunk)):
             return None
         space, before, word, after = m.groups()
@@ -104,13 +98,14 @@ class ChunkEncoder:
 
     def _learn(self, missing: list[str]) -> dict[str, bytes]:
         short = {c: None if self.part[:2] in c else self._parts(c) for c in missing if len(c) <= KEEP_CHARS}
-        new = self._encode_apart(list({p for c, ps in short.items() for p in (ps or (c,))}.difference(self.words)))
-        words = self.words
-        if len(words) < self.limit:
-            words.update(new)
-        else:
-            words.more = new
-        found = {c: b"".join([words[p] for p in ps or (c,)]) for c, ps in short.items()}
+        words = {p: self.words.get(p) for ps in ((ps or (c,)) for c, ps in short.items()) for p in ps}
+        new = self._encode_apart([p for p, ids in words.items() if ids is None])
+        words.update(new)
+        if len(self.words) < self.limit:
+            self.words.update(new)
+        found = {c: b"".join([words[p] for p in ps]) if ps else words[c] for c, ps in short.items()}
+        if len(self.cache) < self.limit:
+            self.cache.update(found)
         found.update((c, self.whole(c)) for c in missing if len(c) > KEEP_CHARS)
         return found
 
@@ -122,13 +117,11 @@ class ChunkEncoder:
         """
         cut = [self._chunks(t) for t in texts]
         seen = set().union(*(c for c in cut if c))
-        missing = seen.difference(self.cache)
+        own = {c: self.cache.get(c) for c in seen}  # a batch's words fit the processor's cache, the dictionary doesn't
+        missing = [c for c, ids in own.items() if ids is None]
         if len(self.cache) >= self.limit and len(missing) > 0.6 * len(seen):
             self.cache.clear()
             self.words.clear()
-            missing = seen
-        learnt = self._learn(list(missing))
-        if len(self.cache) < self.limit:
-            self.cache.update(x for x in learnt.items() if len(x[0]) <= KEEP_CHARS)
-        self.cache.more, get = learnt, self.cache.__getitem__
+        own.update(self._learn(missing))
+        get = own.__getitem__
         return [self.whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
