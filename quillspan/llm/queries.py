@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .lattice import op9_lattice_score
+from .mil import op4_quality
 from .ogg import op5_media
 from .packing import op3_packing
 from .token_counts import op10_token_counts
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_quality": op4_quality,
     "op5_media": op5_media,
     "op9_lattice_score": op9_lattice_score,
     "op10_token_counts": op10_token_counts,
