@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .lattice import op9_lattice_score
 from .mil import op4_quality
+from .ngram_join import op6_ngram_join
 from .ogg import op5_media
 from .packing import op3_packing
 from .token_counts import op10_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_media": op5_media,
+    "op6_ngram_join": op6_ngram_join,
     "op9_lattice_score": op9_lattice_score,
     "op10_token_counts": op10_token_counts,
 }
