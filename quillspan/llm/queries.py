@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
 from .lattice import op9_lattice_score
 from .mil import op4_quality
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .ngram_join import op6_ngram_join
 from .ogg import op5_media
 from .packing import op3_packing
@@ -14,7 +16,9 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_media": op5_media,
     "op6_ngram_join": op6_ngram_join,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_line_dedup": op8_line_dedup,
     "op9_lattice_score": op9_lattice_score,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
