@@ -9,9 +9,11 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .ngram_join import op6_ngram_join
 from .ogg import op5_media
 from .packing import op3_packing
+from .substring_dedup import op2_substring_dedup
 from .token_counts import op10_token_counts
 
 QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
     "op5_media": op5_media,
