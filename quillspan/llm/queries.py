@@ -11,8 +11,10 @@ from .ogg import op5_media
 from .packing import op3_packing
 from .substring_dedup import op2_substring_dedup
 from .token_counts import op10_token_counts
+from .wrappers import op1_html_text
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_packing": op3_packing,
     "op4_quality": op4_quality,
