@@ -182,24 +182,24 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
     return Model().fit(bags, np.array([r["label"] for r in got], dtype=float))
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """docs with a score; columns named in ``keep`` stay."""
+def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """docs with a score under that name; columns in ``keep`` stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_of().alias("_text"))
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], text_of().alias("_scored_text"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
 
     def make():
         model = shared.value
 
         def run(cols):
-            scores = []
-            for at in range(0, len(cols["_text"]), 100):
-                scores += model.score([passages(t) for t in cols["_text"][at : at + 100]]).tolist()
-            return {k: cols[k] for k in keep} | {"score": scores}
+            scores, texts = [], cols["_scored_text"]
+            for at in range(0, len(texts), 100):
+                scores += model.score([passages(t) for t in texts[at : at + 100]]).tolist()
+            return {k: cols[k] for k in keep} | {name: scores}
 
         return run
 
-    return map_batches(rows, make, f"{kinds}, score double")
+    return map_batches(rows, make, f"{kinds}, `{name}` double")
 
 
 def tables(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -117,13 +117,13 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, spans): of each document the runs that aren't the first of their kind."""
+    """(doc, key, _spans): of each document the runs that aren't the first of their kind."""
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     found = spans(rows.select("doc", "key", "text"))
     place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("key").alias("key"), F.col("first").alias("first"))
     firsts = found.groupBy("a", "b").agg(F.min(place).alias("place"), F.max(place).alias("last")).where(F.col("place") != F.col("last")).select("a", "b", "place")
     others = found.join(firsts, ["a", "b"]).where(place != F.col("place"))
-    return others.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "after")).alias("spans"))
+    return others.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "after")).alias("_spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sentences: str | None = None, n_removed: str | None = None) -> DataFrame:
@@ -132,13 +132,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = docs.withColumn("_own", F.xxhash64(text_of(text_col)))
     joined = keyed.join(found, (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
     columns = [f for f in docs.schema.fields if f.name != text_col]
-    rows = joined.select(*[F.col(f"`{f.name}`") for f in columns], F.col(text_col).alias("_text"), "spans")
+    rows = joined.select(*[F.col(f"`{f.name}`") for f in columns], F.col(text_col).alias("_text"), "_spans")
     extra = [(n_sentences, "_n"), (n_removed, "_m")]
 
     def make():
         def run(cols):
             texts, n, m = [], [], []
-            for text, found in zip(cols["_text"], cols["spans"]):
+            for text, found in zip(cols["_text"], cols["_spans"]):
                 parts = sentences(text or "")
                 gone = set()
                 for s in found or ():
