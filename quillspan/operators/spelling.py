@@ -1,9 +1,9 @@
 """Spelling candidates near a word, corrections of queries, suggestions."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import lexicon as lx
 from ..functions.analysis import edits, layout_swap
@@ -92,14 +92,12 @@ def suggest(queries: DataFrame, vocabulary: DataFrame, words: DataFrame, pairs:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-@F.pandas_udf("int")
-def weighted_distance(a, b):
+@F.pandas_udf(IntegerType())
+def weighted_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Edit distance where a neighbouring key costs 1, any other character 2, and a transposition 1.
 
     Each row's table depends on itself cell by cell, which column functions can't express.
     """
-    import pandas as pd
-
     def one(x: str, y: str) -> int:
         before, last = None, list(range(len(y) + 1))
         for i, c in enumerate(x):
