@@ -338,3 +338,16 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFram
 
 def op6_ngram_join(spark, sf_dir: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold, n)
+
+
+OP6_SQL = r"""
+with recursive w as (select doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')), ' ') as ws from documents),
+sh as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as s from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w)),
+sz as (select doc_id, count(*) as n from sh group by doc_id),
+pr as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh a join sh b using (s) where a.doc_id <> b.doc_id group by all),
+ln as (select x, y, c = a.n and c = b.n as same from pr join sz a on a.doc_id = x join sz b on b.doc_id = y where c >= 0.8 * (a.n + b.n - c)),
+r as (select doc_id as x, doc_id as y from documents union select r.x, ln.y from r join ln on ln.x = r.y),
+cl as (select x as doc_id, min(y) as class_id from r group by x),
+k as (select x as doc_id, count(*) as n_links, min(y) filter (where same) as least from ln group by x)
+select doc_id, class_id, least(doc_id, coalesce(least, doc_id)) as copy_of, coalesce(n_links, 0)::bigint as n_links from cl left join k using (doc_id)
+"""

@@ -6,7 +6,7 @@ from .decontaminate import op7_decontaminate
 from .lattice import op9_lattice_score
 from .mil import op4_quality
 from .line_dedup import OP8_SQL, op8_line_dedup
-from .ngram_join import op6_ngram_join
+from .ngram_join import OP6_SQL, op6_ngram_join
 from .ogg import op5_media
 from .packing import op3_packing
 from .substring_dedup import op2_substring_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_lattice_score": op9_lattice_score,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op6_ngram_join": OP6_SQL, "op8_line_dedup": OP8_SQL}
