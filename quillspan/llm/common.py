@@ -78,15 +78,24 @@ def text_key(column: Column) -> Column:
     return F.unhex(F.md5(column.cast("binary")))
 
 
-def by_batch(fn: Callable[[dict[str, list]], dict[str, list] | Iterator[dict[str, list]]], schema: pa.Schema):
-    """A function for mapInArrow from one that takes and gives columns as lists."""
+def by_batch(fn: Callable[[dict[str, list]], dict[str, list] | Iterator[dict[str, list]]], schema: pa.Schema, rows: int = 1):
+    """A function for mapInArrow from one that takes and gives columns as lists, of ``rows`` rows or more where there are."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            if b.num_rows:
-                out = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
-                for x in [out] if isinstance(out, dict) else out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in schema], schema=schema)
+            held.append(b)
+            if sum(x.num_rows for x in held) >= rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        if sum(x.num_rows for x in held):
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in gathered(batches):
+            out = fn({n: t.column(i).to_pylist() for i, n in enumerate(t.schema.names)})
+            for x in [out] if isinstance(out, dict) else out:
+                yield pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in schema], schema=schema)
 
     return run
 
@@ -97,7 +106,7 @@ def arrow_schema(df_schema) -> pa.Schema:
     return to_arrow_schema(df_schema)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str, rows: int = 1) -> DataFrame:
     """mapInArrow with a function made once in each task; make() runs on the executor."""
     from pyspark.sql.types import _parse_datatype_string
 
@@ -106,6 +115,6 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
     bounded_batches(df.sparkSession)
 
     def run(batches):
-        yield from by_batch(make(), arrow)(batches)
+        yield from by_batch(make(), arrow, rows)(batches)
 
     return df.mapInArrow(run, kind)

@@ -39,6 +39,8 @@ MARK = "▁"
 LOG10 = math.log(10)
 #: Words of more bytes than this have no arc of their own.
 LONG_WORD = 200
+#: Words whose lattices are summed together.
+WORDS_AT_ONCE = 8000
 #: What an arc of a frequent word gives to the lattice, in tokens.
 DISCOUNT = 0.8
 
@@ -66,7 +68,8 @@ class Pieces:
         self.stop = self.byte + 256
         self.size = self.stop + 1
         self.split = len(first)
-        self.longest = max(map(len, rank))
+        #: Pieces, and with -1 what only begins some: a walk from a place stops where nothing goes on.
+        self.walk_first, self.walk_inner = ({q: -1 for p in own for q in (p[:n] for n in range(1, len(p)))} | own for own in (self.first, self.inner))
         #: Scores of this vocabulary are ranks: a piece's probability falls with its rank, bytes come last.
         start = 1 / (np.array([rank[p] for p in first + inner] + [10.0 * len(rank)] * 256 + [0.0]) + 10)
         start[self.stop] = start[self.split :].sum() / 2
@@ -75,71 +78,94 @@ class Pieces:
     def normalised(self, weights: np.ndarray) -> np.ndarray:
         return np.concatenate([x / x.sum() for x in (weights[: self.split], weights[self.split :])])
 
-    def arcs(self, word: str) -> list[list[tuple[int, int | tuple[int, ...]]]]:
-        """For each place of the marked word, where the pieces that end there begin, and which they are.
+    def lattice(self, words: list[str]) -> Arcs:
+        """The lattices of words, marked: all their arcs as arrays, by end, then word, then start.
 
-        A character that is no piece is its bytes.
+        A character that is no piece is its bytes, an arc of a kind of its own.
         """
-        text, inner = MARK + word, self.inner
-        out = []
-        for j in range(1, len(text) + 1):
-            own = []
-            if j <= self.longest and (k := self.first.get(text[:j])) is not None:
-                own.append((0, k))
-            for i in range(max(1, j - self.longest), j):
-                k = inner.get(text[i:j])
-                if k is not None:
-                    own.append((i, k))
-            if j > 1 and text[j - 1] not in inner:
-                own.append((j - 1, tuple(self.byte + b for b in text[j - 1].encode())))
-            out.append(own)
-        return out
-
-    def forward(self, arcs, score: list[float]) -> list[float]:
-        """Natural log of the probability of all ways to each place."""
-        a = [0.0]
-        exp = math.exp
-        for own in arcs:
-            terms = [a[i] + (score[k] if k.__class__ is int else sum([score[x] for x in k])) for i, k in own]
-            if len(terms) == 1:
-                a.append(terms[0])
-            else:
-                top = max(terms)
-                a.append(top + math.log(sum([exp(t - top) for t in terms])))
-        return a
-
-    def log_probability(self, word: str, scores: list[list[float]]) -> list[float]:
-        arcs = self.arcs(word)
-        return [self.forward(arcs, s)[-1] + s[self.stop] for s in scores]
-
-    def expect(self, words: list[tuple[str, float]], score: list[float]) -> np.ndarray:
+        first, inner, byte = self.walk_first, self.walk_inner, self.byte
+        spelt: dict[str, int] = {}
+        word, start, end, piece = [], [], [], []
+        for n, w in enumerate(words):
+            text = MARK + w
+            size = len(text)
+            walk = first
+            for i in range(size):
+                for j in range(i + 1, size + 1):
+                    k = walk.get(text[i:j])
+                    if k is None:
+                        break
+                    if k >= 0:
+                        word.append(n)
+                        start.append(i)
+                        end.append(j)
+                        piece.append(k)
+                if i and text[i] not in self.inner:
+                    word.append(n)
+                    start.append(i)
+                    end.append(i + 1)
+                    piece.append(spelt.setdefault(text[i], self.size + len(spelt)))
+                walk = inner
+        word, start, end, piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
+        order = np.lexsort((word, end))
+        spellings = [[byte + b for b in c.encode()] for c in spelt]
+        return Arcs(word[order], start[order], end[order], piece[order], np.array([len(w) + 1 for w in words]), spellings)
+
+    def log_probability(self, words: list[str], scores: np.ndarray) -> np.ndarray:
+        """Natural logs of words' probabilities by each of the classes' scores, which are columns."""
+        if not words:
+            return np.zeros((0, scores.shape[1]))
+        arcs = self.lattice(words)
+        a = arcs.forward(arcs.spelt(scores))
+        return a[arcs.last] + scores[self.stop]
+
+    def expect(self, words: list[str], weights: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Expected counts of pieces over words with their weights."""
-        out = [0.0] * self.size
-        exp = math.exp
-        for word, c in words:
-            arcs = self.arcs(word)
-            a = self.forward(arcs, score)
-            share = [0.0] * len(a)  # of all segmentations, those that pass a place
-            share[-1] = c
-            for j in range(len(arcs), 0, -1):
-                at, whole = share[j], a[j]
-                if at < 1e-9:
-                    continue
-                for i, k in arcs[j - 1]:
-                    if k.__class__ is int:
-                        p = at * exp(a[i] + score[k] - whole) if len(arcs[j - 1]) > 1 else at
-                        out[k] += p
-                    else:
-                        p = at * exp(a[i] + sum([score[x] for x in k]) - whole)
-                        for x in k:
-                            out[x] += p
-                    share[i] += p
-            out[self.stop] += c
-        return np.array(out)
-
-    def learnt(self, counts: np.ndarray, prior: float = 1000.0) -> list[float]:
+        arcs = self.lattice(words)
+        score = arcs.spelt(score[:, None])
+        a = arcs.forward(score)[:, 0]
+        share = np.zeros_like(a)  # of all segmentations, those that pass a place
+        share[arcs.last] = weights
+        got = np.exp(a[arcs.from_] + score[arcs.piece, 0] - a[arcs.to])
+        for lo, hi in reversed(arcs.levels):
+            got[lo:hi] *= share[arcs.to[lo:hi]]
+            np.add.at(share, arcs.from_[lo:hi], got[lo:hi])
+        counts = np.bincount(arcs.piece, weights=got, minlength=len(score))
+        for k, spelling in enumerate(arcs.spellings, self.size):
+            np.add.at(counts, spelling, counts[k])
+        counts[self.stop] += weights.sum()
+        return counts[: self.size]
+
+    def learnt(self, counts: np.ndarray, prior: float = 1000.0) -> np.ndarray:
         """Natural log probabilities from expected counts, the start weighing as ``prior`` of them."""
-        return np.log(self.normalised(counts + prior * self.start)).tolist()
+        return np.log(self.normalised(counts + prior * self.start))
+
+
+class Arcs:
+    """Arcs of many words' lattices.  A word's places have numbers after one another, over all words."""
+
+    def __init__(self, word, start, end, piece, sizes, spellings):
+        base = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.from_, self.to, self.piece = base[word] + start, base[word] + end, piece
+        self.n_places, self.last, self.first, self.spellings = int((sizes + 1).sum()), base + sizes, base, spellings
+        cuts = np.flatnonzero(np.diff(end)) + 1
+        self.levels = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(end)]))
+
+    def spelt(self, scores: np.ndarray) -> np.ndarray:
+        """scores with a row for each spelt character."""
+        return np.concatenate([scores, *[scores[s].sum(axis=0, keepdims=True) for s in self.spellings]])
+
+    def forward(self, scores: np.ndarray) -> np.ndarray:
+        """Natural logs of the probability of all ways to each place, by class: all words' places of one distance at once."""
+        a = np.zeros((self.n_places, scores.shape[1]))
+        for lo, hi in self.levels:
+            terms = a[self.from_[lo:hi]] + scores[self.piece[lo:hi]]
+            to = self.to[lo:hi]
+            at = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1])
+            top = np.maximum.reduceat(terms, at)
+            each = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(to))))
+            a[to[at]] = top + np.log(np.add.reduceat(np.exp(terms - top[each]), at))
+        return a
 
 
 _pieces: dict[str, Pieces] = {}
@@ -172,7 +198,7 @@ def word_counts(docs: DataFrame, class_col: str = "class") -> DataFrame:
     return got.groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
-def expected(words: DataFrame, model: str, scores: dict[str, list[float]]) -> DataFrame:
+def expected(words: DataFrame, model: str, scores: dict[str, np.ndarray]) -> DataFrame:
     """(class, piece, c): expected counts of pieces over (word, class, weight)."""
 
     def make():
@@ -182,22 +208,21 @@ def expected(words: DataFrame, model: str, scores: dict[str, list[float]]) -> Da
             by: dict[str, list[tuple[str, float]]] = defaultdict(list)
             for w, k, c in zip(cols["word"], cols["class"], cols["weight"]):
                 by[k].append((w.decode(), c))
-            rows = []
             for k, own in by.items():
-                got = pieces.expect(own, scores[k])
-                rows += [(k, int(i), float(got[i])) for i in np.flatnonzero(got)]
-            if rows:
-                yield dict(zip(("class", "piece", "c"), zip(*rows)))
+                words, weights = zip(*own)
+                got = pieces.expect(words, np.array(weights), scores[k])
+                at = np.flatnonzero(got)
+                yield {"class": [k] * len(at), "piece": at, "c": got[at]}
 
         return run
 
-    return map_batches(words.select("word", "class", "weight"), make, "class string, piece int, c double").groupBy("class", "piece").agg(F.sum("c").alias("c"))
+    return map_batches(words.select("word", "class", "weight"), make, "class string, piece int, c double", WORDS_AT_ONCE).groupBy("class", "piece").agg(F.sum("c").alias("c"))
 
 
-def fit(weighed: DataFrame, classes: list[str], model: str) -> dict[str, list[float]]:
+def fit(weighed: DataFrame, classes: list[str], model: str) -> dict[str, np.ndarray]:
     """Scores of each class: one step over its frequent words, then one over all."""
     pieces = pieces_for(model)
-    scores = {k: np.log(pieces.start).tolist() for k in classes}
+    scores = {k: np.log(pieces.start) for k in classes}
     for source in (weighed.where("hot"), weighed):
         got = {k: np.zeros(pieces.size) for k in classes}
         for r in expected(source, model, scores).collect():  # classes times the vocabulary at most
@@ -235,7 +260,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     tokens = {k: texts.get(k, 1) + (sums[k]["c"] if k in sums else 1) for k in classes}
     arcs = {k: math.log(tokens[k]) for k in classes}
     rest = [math.log((sums[k]["w"] if k in sums else 1) / tokens[k]) for k in classes]
-    lattice = Lattice(model, [scores[k] for k in classes], rest, floor)
+    lattice = Lattice(model, np.stack([scores[k] for k in classes], axis=1), rest, floor)
     pivot = [F.sum(F.when(F.col("class") == k, F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / tokens[k])).alias(f"arc{i}") for i, k in enumerate(classes)]
     frequent_words = weighed.where("hot").groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs"))
     table = lattice.look(frequent_words).toArrow()
@@ -266,7 +291,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
 class Lattice:
     """What it takes to look words up: the vocabulary, each class's scores, its share of the classes' tokens."""
 
-    def __init__(self, model: str, scores: list[list[float]], rest: list[float], floor: float):
+    def __init__(self, model: str, scores: np.ndarray, rest: list[float], floor: float):
         self.model, self.scores, self.rest, self.floor = model, scores, rest, floor
 
     def look(self, words: DataFrame) -> DataFrame:
@@ -278,17 +303,16 @@ class Lattice:
             pieces = pieces_for(own.model)
 
             def run(cols):
-                sums = []
-                for w, c, arcs in zip(cols["word"], cols["c"], cols["arcs"]):
-                    logs = [x + r for x, r in zip(pieces.log_probability(w.decode(), own.scores), own.rest)]
-                    if arcs:
-                        logs = [x if not p else math.log(p + math.exp(x)) for x, p in zip(logs, arcs)]
-                    sums.append([math.log10((c or 0) + 0.5) - own.floor, *logs])
-                return {"word": cols["word"], "known": [c is not None for c in cols["c"]], "sums": sums}
+                logs = pieces.log_probability([w.decode() for w in cols["word"]], own.scores) + np.array(own.rest)
+                if cols["arcs"] and cols["arcs"][0]:
+                    logs = np.log(np.array(cols["arcs"]) + np.exp(logs))
+                known = [c is not None for c in cols["c"]]
+                base = np.log10(np.array([c or 0 for c in cols["c"]]) + 0.5) - own.floor
+                return {"word": cols["word"], "known": known, "sums": np.concatenate([base[:, None], logs], axis=1).tolist()}
 
             return run
 
-        return map_batches(words.select("word", "c", "arcs"), make, "word binary, known boolean, sums array<double>")
+        return map_batches(words.select("word", "c", "arcs"), make, "word binary, known boolean, sums array<double>", WORDS_AT_ONCE)
 
 
 def first_sums(docs: DataFrame, index: dict[bytes, int], values: np.ndarray) -> DataFrame:
@@ -299,20 +323,24 @@ def first_sums(docs: DataFrame, index: dict[bytes, int], values: np.ndarray) ->
         index, values = shared.value
 
         def run(cols):
-            rows = []
+            rare_key, rare_word, rare_tf, n_words, n_known, all_sums = [], [], [], [], [], []
             for key, text in zip(cols["key"], cols["text"]):
                 own = Counter(words_of(text))
-                at, tf = [], []
-                for w, c in own.items():
-                    i = index.get(w)
-                    if i is None:
-                        rows.append((key, w, c, None, None, None))
-                    else:
-                        at.append(i)
-                        tf.append(c)
-                sums = np.array(tf, dtype=float) @ values[at] if at else np.zeros(values.shape[1])
-                rows.append((key, None, None, sum(own.values()), sum(tf), sums.tolist()))
-            return dict(zip(("key", "word", "tf", "n_words", "n_known", "sums"), zip(*rows)))
+                at, tf = np.array([index.get(w, -1) for w in own], dtype=np.int64), np.fromiter(own.values(), dtype=np.int64, count=len(own))
+                hot = at >= 0
+                if not hot.all():
+                    rare = [w for w, i in zip(own, at.tolist()) if i < 0]
+                    rare_key += [key] * len(rare)
+                    rare_word += rare
+                    rare_tf += tf[~hot].tolist()
+                n_words.append(int(tf.sum()))
+                n_known.append(int(tf[hot].sum()))
+                all_sums.append((tf[hot] @ values[at[hot]]).tolist())
+            m, none = len(rare_key), [None]
+            if m:
+                yield {"key": rare_key, "word": rare_word, "tf": rare_tf, "n_words": none * m, "n_known": none * m, "sums": none * m}
+            m = len(cols["key"])
+            yield {"key": cols["key"], "word": none * m, "tf": none * m, "n_words": n_words, "n_known": n_known, "sums": all_sums}
 
         return run
 
