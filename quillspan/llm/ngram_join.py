@@ -140,7 +140,7 @@ def in_block_pairs(members: DataFrame, key: list[str]) -> DataFrame:
 
 
 def by_group(rows: DataFrame, key: list[str], value: str, make, schema: str) -> DataFrame:
-    """make()(members, values, sides, weights) for each pair of blocks; groups come sorted, so one is held at a time."""
+    """make()(members, values, sides, weights, whether it is one block) for each pair of blocks; groups come sorted, so one is held at a time."""
     from pyspark.sql.types import _parse_datatype_string
 
     from .common import arrow_schema
@@ -160,7 +160,7 @@ def by_group(rows: DataFrame, key: list[str], value: str, make, schema: str) ->
             for k, *row in zip(zip(*(cols[c] for c in keys)), cols["v"], cols[value], cols["side"], cols["weight"]):
                 if k != now:
                     if len(held[0]) > 1:
-                        out += fn(*held)
+                        out += fn(*held, now[-1] == now[-2])
                     now, held = k, ([], [], [], [])
                 for x, y in zip(held, row):
                     x.append(y)
@@ -168,7 +168,7 @@ def by_group(rows: DataFrame, key: list[str], value: str, make, schema: str) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
                 out = []
         if len(held[0]) > 1:
-            out += fn(*held)
+            out += fn(*held, now[-1] == now[-2])
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
 
@@ -195,18 +195,18 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
     return out
 
 
-def sides(side: list[int]) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Places of the members of either block; one block alone is compared with itself."""
+def sides(side: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members of either block; a block with itself is compared as both."""
     left, right = np.flatnonzero(np.array(side) == 0), np.flatnonzero(np.array(side) == 1)
-    return (left, left, True) if not right.size else (left, right, False)
+    return (left, left) if same else (left, right)
 
 
 def compare_signatures(least: float):
     """In a bucket: a forest of the pairs whose signatures agree in a share of ``least`` or more."""
 
-    def run(members, sigs, side, weights):
-        left, right, same = sides(side)
-        if not left.size:
+    def run(members, sigs, side, weights, same):
+        left, right = sides(side, same)
+        if not left.size or not right.size:
             return []
         sig = np.stack([np.frombuffer(s, dtype=np.uint32) for s in sigs])
         agree = np.zeros((len(left), len(right)), dtype=np.uint16)
@@ -253,9 +253,9 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
 def verify(threshold: float, n: int):
     """In a group: each vertex's number of linked texts as (v, null, links), and a forest of the links as (v, w, 0)."""
 
-    def run(members, texts, side, weights):
-        left, right, same = sides(side)
-        if not left.size:
+    def run(members, texts, side, weights, same):
+        left, right = sides(side, same)
+        if not left.size or not right.size:
             return []
         linked = jaccard_links([ngrams(t, n) for t in texts], left, right, same, threshold)
         w = np.array(weights)
