@@ -34,6 +34,8 @@ from .common import map_batches, text_of, written
 SALT_PAGES = 2000
 #: A node's text is template if this share of the host's distinct pages has it there, and so many pages.
 SHARE, MIN_PAGES = 0.5, 10
+#: A matched node beside which all equal texts of a page weigh little.
+NODE = 1_000_000
 #: Children that alignment looks at in a table of all pairs; longer lists are aligned in a band around the diagonal.
 BAND = 60
 
@@ -62,12 +64,12 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "children", "texts", "number", "size")
+    __slots__ = ("tag", "names", "role", "children", "text", "number")
 
     def __init__(self, tag: str, names: str = "", role: str = ""):
         self.tag, self.names, self.role = tag, names, role
         self.children: list[Node | str] = []
-        self.number, self.size = -1, 1
+        self.number, self.text = -1, ""
 
     @property
     def label(self) -> str:
@@ -136,23 +138,21 @@ def parse(page: str) -> Node:
     return root
 
 
-def number(node: Node, n: int = 0) -> int:
-    """Give nodes numbers in page order, and the sizes of their trees."""
-    stack = [node]
-    order = []
+def number(node: Node) -> None:
+    """Give nodes numbers in page order, and their own text."""
+    stack, n = [node], 0
     while stack:
         x = stack.pop()
-        x.number = n
+        x.number, x.text = n, " ".join("".join([c for c in x.children if isinstance(c, str)]).split())
         n += 1
-        order.append(x)
         stack += [c for c in reversed(x.children) if not isinstance(c, str)]
-    for x in reversed(order):
-        x.size = 1 + sum(c.size for c in x.children if not isinstance(c, str))
-    return n
 
 
 def match(a: Node, b: Node) -> dict[int, int]:
-    """Simple tree matching of two trees: node number in a to that in b, for the most nodes in all."""
+    """Simple tree matching of two trees: node number in a to that in b, for the most nodes in all.
+
+    Of matchings with as many nodes, the one with most equal texts is taken: constant nodes hold their places.
+    """
     scores: dict[tuple[int, int], tuple[int, list]] = {}
 
     def score(x: Node, y: Node) -> int:
@@ -163,9 +163,10 @@ def match(a: Node, b: Node) -> dict[int, int]:
             return scores[key][0]
         cx, cy = ([c for c in n.children if not isinstance(c, str)] for n in (x, y))
         n, m = len(cx), len(cy)
+        alone = NODE + (x.text == y.text != "")
         if not n or not m:
-            scores[key] = (1, [])
-            return 1
+            scores[key] = (alone, [])
+            return alone
         width = max(BAND, abs(n - m) + 1)
         best = [[0] * (m + 1) for _ in range(n + 1)]
         took: dict[tuple[int, int], int] = {}
@@ -192,7 +193,7 @@ def match(a: Node, b: Node) -> dict[int, int]:
                 i -= 1
             else:
                 j -= 1
-        scores[key] = (1 + best[n][m], pairs)
+        scores[key] = (alone + best[n][m], pairs)
         return scores[key][0]
 
     out: dict[int, int] = {}
