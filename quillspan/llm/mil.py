@@ -164,12 +164,13 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
     """docs (doc_id, text) and labels (doc_id, label): a model from rows whose fold isn't 0.
 
-    ``max_train`` bounds what the driver holds: the passages' features of so many
-    texts, those whose id and text have the least hashes.
+    ``max_train`` bounds what the driver holds: the passages' features of the
+    texts of so many labelled ids, those of least hash.  They meet their texts by a
+    broadcast of these ids.
     """
     label = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = docs.select("doc_id", text_of().alias("text")).join(label, "doc_id").select("label", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
-    rows = rows.orderBy("h", "label").limit(max_train).select("label", "text", "h").repartition(12)
+    chosen = label.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h").limit(max_train)
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "label", "text")
 
     def make():
         def run(cols):
@@ -177,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
 
         return run
 
-    got = sorted(map_batches(rows, make, "h long, label int, x binary").collect(), key=lambda r: (r["h"], r["label"]))
+    got = sorted(map_batches(rows, make, "h long, label int, x binary").collect(), key=lambda r: (r["h"], r["x"]))[:max_train]  # an id may have several rows
     bags = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
     return Model().fit(bags, np.array([r["label"] for r in got], dtype=float))
 
