@@ -41,8 +41,8 @@ LOG10 = math.log(10)
 LONG_WORD = 200
 #: Words whose lattices are summed together.
 WORDS_AT_ONCE = 8000
-#: What an arc of a frequent word gives to the lattice, in tokens.
-DISCOUNT = 0.8
+#: Least that an arc of a frequent word gives to the lattice, in tokens.
+LEAST_DISCOUNT = 0.05
 
 
 def words_of(text: str) -> list[bytes]:
@@ -136,7 +136,7 @@ class Pieces:
         counts[self.stop] += weights.sum()
         return counts[: self.size]
 
-    def learnt(self, counts: np.ndarray, prior: float = 1000.0) -> np.ndarray:
+    def learnt(self, counts: np.ndarray, prior: float = 100.0) -> np.ndarray:
         """Natural log probabilities from expected counts, the start weighing as ``prior`` of them."""
         return np.log(self.normalised(counts + prior * self.start))
 
@@ -219,11 +219,11 @@ def expected(words: DataFrame, model: str, scores: dict[str, np.ndarray]) -> Dat
     return map_batches(words.select("word", "class", "weight"), make, "class string, piece int, c double", WORDS_AT_ONCE).groupBy("class", "piece").agg(F.sum("c").alias("c"))
 
 
-def fit(weighed: DataFrame, classes: list[str], model: str) -> dict[str, np.ndarray]:
-    """Scores of each class: one step over its frequent words, then one over all."""
+def fit(weighed: DataFrame, classes: list[str], model: str, rounds: int = 3) -> dict[str, np.ndarray]:
+    """Scores of each class: ``rounds`` steps over its frequent words, then one over all."""
     pieces = pieces_for(model)
     scores = {k: np.log(pieces.start) for k in classes}
-    for source in (weighed.where("hot"), weighed):
+    for source in [weighed.where("hot")] * rounds + [weighed]:
         got = {k: np.zeros(pieces.size) for k in classes}
         for r in expected(source, model, scores).collect():  # classes times the vocabulary at most
             got[r["class"]][r["piece"]] = r["c"]
@@ -246,14 +246,16 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     texts = {r["class"]: r["c"] for r in counts.where(F.col("word").isNull()).collect()}
     counts = counts.where(F.col("word").isNotNull())
     totals = written(counts.groupBy("word").agg(F.sum("c").alias("c")), "word-totals")
-    size = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    size = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
+    # absolute discounting: the words seen once and twice tell how much of what comes is new
+    discount = max(LEAST_DISCOUNT, size["once"] / max(1, size["once"] + 2 * size["twice"]))
     n_ends = sum(texts.values())
     n, v = size["n"] + n_ends, size["v"] + (n_ends > 0)
     floor = math.log10(n + 0.5 * (v + 1))
     # ``frequent`` words of LONG_WORD bytes at most: a bound that doesn't grow with the corpus
     hot = totals.where(F.length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(frequent).select("word", F.lit(True).alias("hot"))
     weighed = counts.join(F.broadcast(hot), "word", "left").withColumn("hot", F.col("hot").isNotNull())
-    weighed = written(weighed.withColumn("weight", F.when(F.col("hot"), F.lit(DISCOUNT)).otherwise(F.col("c").cast("double"))), "weighed-words")
+    weighed = written(weighed.withColumn("weight", F.when(F.col("hot"), F.lit(discount)).otherwise(F.col("c").cast("double"))), "weighed-words")
     classes = sorted(texts) or [""]
     scores = fit(weighed, classes, model)
     sums = {r["class"]: r for r in weighed.groupBy("class").agg(F.sum("c").alias("c"), F.sum("weight").alias("w")).collect()}
@@ -261,7 +263,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     arcs = {k: math.log(tokens[k]) for k in classes}
     rest = [math.log((sums[k]["w"] if k in sums else 1) / tokens[k]) for k in classes]
     lattice = Lattice(model, np.stack([scores[k] for k in classes], axis=1), rest, floor)
-    pivot = [F.sum(F.when(F.col("class") == k, F.greatest(F.col("c") - DISCOUNT, F.lit(0.0)) / tokens[k])).alias(f"arc{i}") for i, k in enumerate(classes)]
+    pivot = [F.sum(F.when(F.col("class") == k, F.greatest(F.col("c") - discount, F.lit(0.0)) / tokens[k])).alias(f"arc{i}") for i, k in enumerate(classes)]
     frequent_words = weighed.where("hot").groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs"))
     table = lattice.look(frequent_words).toArrow()
     index = {w: i for i, w in enumerate(table["word"].to_pylist())}
