@@ -1,0 +1 @@
+"""Text search and text analytics on PySpark DataFrames."""
