@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +66,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, one of this machine is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def ensure(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at path, built and written if it isn't there; it is always read back."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
