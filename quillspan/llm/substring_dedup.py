@@ -1,20 +1,21 @@
 """Removal of repeated passages by hashes of sliding runs of sentences.
 
-A text is cut into sentences at marks and line ends; a sentence of more than
-LONG words is cut further after words that their own hash picks, so that equal
-wording is cut alike wherever it stands.  From every sentence a run goes on until
-it has RUN sentences and RUN_WORDS words at least.  Runs are hashed, and meet all
-others by their hash.  The first run, by document id, then text, then place, is
-the original; sentences covered by any other one are removed.
-
-Hot runs are counted by partial aggregation; occurrences join the repeated runs'
-first places by hash, a join that Spark splits where a run is very frequent.
-
-Defined results: sentences are compared by their words in lower case; text
-between sentences goes with the sentence before it; a text shorter than a run
-has none; a null text counts as the empty one and a null id comes after all
-others; rows repeated with their id are one document and give equal rows; an
-empty table gives an empty result; other columns pass unchanged.
+A sentence ends with a word that ends in a mark, or with its line; a sentence of
+more than LONG words is cut further after words that their own hash picks, so
+that equal wording is cut alike wherever it stands.  From every sentence a run
+goes on until it has RUN sentences and RUN_WORDS words at least.  Runs are hashed
+to 96 bits, and meet all others by their hash.  The first run, by document id and
+then by place, is the original; sentences covered by any other one are removed.
+
+Runs are written once.  Partial aggregation finds the first document of each
+repeated run; a very frequent run is one row there, and in the join that tells
+its other occurrences Spark splits what is skewed.
+
+Defined results: sentences are compared by their words in lower case; white space
+after a sentence goes with it; a text shorter than a run has none; a null text
+counts as the empty one and stays null; a null id is one id and comes after all
+others; rows that share an id are one document, so what they repeat of each other
+stays; an empty table gives an empty result; other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -22,27 +23,33 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import claim, map_batches, text_of, written
 from .ngram_join import mix
 
 RUN = 3
 RUN_WORDS = 16
-LONG = 24
+LONG = 40
 #: A long sentence is cut after one in so many of its words.
 CUT = 8
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+\s*$")
-_WORD = re.compile(r"\S+\s*")
+MARKS = ".!?。！？…"
+CLOSING = "\"')]}»”’"
+_WORD = re.compile(r"\S+")
+#: Factors of the two hashes' powers, with their inverses modulo 2**64.
+FACTORS = [(np.uint64(f), np.uint64(pow(f, -1, 1 << 64))) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class Hashes(dict):
+    """Of each word a hash in lower case, whose last bit tells whether a sentence ends; the first many stay."""
+
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 500_000:
+        ends = word.rstrip(CLOSING).endswith(tuple(MARKS))
+        h = xxhash.xxh64_intdigest(word.lower()) & ~1 | ends
+        if len(self) < 700_000:
             self[word] = h
         return h
 
@@ -50,110 +57,128 @@ class Hashes(dict):
 _hashes = Hashes()
 
 
-def sentences(text: str) -> list[str]:
-    """Parts that make up the text: sentences with what stands after them, up to the next."""
-    parts: list[str] = []
-    for s in _SENTENCE.findall(text):
-        if s.count(" ") < LONG:
-            parts.append(s)
-            continue
-        now: list[str] = []
-        for w in _WORD.findall(s) if not s[0].isspace() else [s[: len(s) - len(s.lstrip())], *_WORD.findall(s)]:
-            now.append(w)
-            if _hashes[w.strip().lower()] % CUT == 0:
-                parts.append("".join(now))
-                now = []
-        if now:
-            parts.append("".join(now))
-    return parts
-
-
-def runs(parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, after the last, two hashes) of each run of sentences with words."""
-    words = [p.lower().split() for p in parts]
-    full = np.array([i for i, w in enumerate(words) if w], dtype=np.int64)
-    n = np.array([len(words[i]) for i in full], dtype=np.int64)
-    if len(full) < RUN:
-        return (np.zeros(0, dtype=np.int64),) * 4
-    flat = np.array([_hashes[w] for i in full for w in words[i]], dtype=np.uint64)
-    ends = np.cumsum(n)
+def own_words() -> None:
+    """Called in a task: a function of a module acts on the worker's own dictionary, a pickled closure would have a copy."""
+    claim("sentences", _hashes.clear)
+
+
+def sentences(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's words, and the number of words up to each sentence's end."""
+    words: list[str] = []
+    lines = []
+    for line in text.split("\n"):
+        words += line.split()
+        lines.append(len(words))
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    if not words:
+        return h, np.zeros(0, dtype=np.int64)
+    end = (h & np.uint64(1)).astype(bool)
+    end[[n - 1 for n in lines if n]] = True
+    last = np.flatnonzero(end)
+    size = np.diff(last, prepend=-1)
+    if size.max() > LONG:
+        end |= np.repeat(size > LONG, size) & ((h >> np.uint64(1)) % np.uint64(CUT) == 0)
+        last = np.flatnonzero(end)
+    return h, last + 1
+
+
+def runs(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first sentence, number of sentences, two hashes, whether the text had it before) of each run."""
+    starts = np.concatenate([[0], ends[:-1]])
     # the run from sentence i ends with the first that makes it long enough both ways
-    last = np.maximum(np.arange(len(full)) + RUN - 1, np.searchsorted(ends, ends - n + RUN_WORDS, side="left"))
-    starts = np.flatnonzero(last < len(full))
-    last = last[starts]
-    lo, hi = (ends - n)[starts], ends[last]
+    last = np.maximum(np.arange(len(ends)) + RUN - 1, np.searchsorted(ends, starts + RUN_WORDS, side="left"))
+    first = np.flatnonzero(last < len(ends))
+    last = last[first]
+    lo, hi = starts[first], ends[last]
     out = []
-    for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        # sums of powers times words tell runs apart by difference of prefix sums, as their exponents are taken out by an inverse power
-        with np.errstate(over="ignore"):
-            power = np.cumprod(np.full(len(flat) + 1, factor, dtype=np.uint64))
-            inverse = np.uint64(pow(factor, -1, 1 << 64))
-            back = np.cumprod(np.full(len(flat) + 1, inverse, dtype=np.uint64))
-            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(flat ^ np.uint64(factor)) * power[:-1], dtype=np.uint64)])
-            out.append(mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)).view(np.int64))
-    return full[starts], full[last] + 1, out[0], out[1]
+    for factor, inverse in FACTORS:
+        # sums of words times powers: a difference of two sums is the run's, and the inverse power moves it to the start
+        power = np.cumprod(np.full(len(h), factor, dtype=np.uint64))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(h ^ factor) * power, dtype=np.uint64)])
+        back = np.cumprod(np.full(len(h), inverse, dtype=np.uint64))
+        out.append(mix((sums[hi] - sums[lo]) * back[lo] + (hi - lo).astype(np.uint64)))
+    a, b = out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    again = np.ones(len(a), dtype=bool)
+    again[np.unique(a, return_index=True)[1]] = False
+    return first, last + 1 - first, a, b, again
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc, key, a, b, first, after): the runs of each text."""
+    """(doc, key, a, b, first, n, again): the runs of each text."""
 
     def make():
+        own_words()
+
         def run(cols):
             docs, keys, out = [], [], []
             for doc, key, text in zip(cols["doc"], cols["key"], cols["text"]):
-                found = runs(sentences(text))
-                if len(found[0]):
+                h, ends = sentences(text)
+                if len(ends) >= RUN and len(h) >= RUN_WORDS:
+                    found = runs(h, ends)
                     out.append(found)
                     docs += [doc] * len(found[0])
                     keys += [key] * len(found[0])
             if out:
-                first, after, a, b = (np.concatenate(x) for x in zip(*out))
-                yield {"doc": docs, "key": keys, "a": a, "b": b, "first": first, "after": after}
+                yield {"doc": docs, "key": keys} | dict(zip(("first", "n", "a", "b", "again"), (np.concatenate(x) for x in zip(*out))))
 
         return run
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return map_batches(docs, make, f"doc {kind}, key long, a long, b long, first int, after int")
+    return map_batches(docs, make, f"doc {kind}, key int, a long, b int, first int, n int, again boolean")
+
+
+def text_hash(text: Column) -> Column:
+    """32 bits, to tell the texts of one id apart."""
+    return F.hash(text)
 
 
 def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, _spans): of each document the runs that aren't the first of their kind."""
-    rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
-    found = spans(rows.select("doc", "key", "text"))
-    place = F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("key").alias("key"), F.col("first").alias("first"))
-    firsts = found.groupBy("a", "b").agg(F.min(place).alias("place"), F.max(place).alias("last")).where(F.col("place") != F.col("last")).select("a", "b", "place")
-    others = found.join(firsts, ["a", "b"]).where(place != F.col("place"))
-    return others.groupBy("doc", "key").agg(F.collect_set(F.struct("first", "after")).alias("_spans"))
+    """(_doc, _key, _spans): of each document the runs that aren't the first of their kind."""
+    rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).withColumn("key", text_hash(F.col("text")))
+    found = written(spans(rows.select("doc", "key", "text")), "runs")
+    firsts = found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
+    others = found.join(firsts, ["a", "b"]).where(F.col("again") | ~F.col("doc").eqNullSafe(F.col("least")))
+    return others.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
+
+
+def cut(text: str, found: list) -> tuple[str, int, int]:
+    """The text without the sentences of the spans, the number of sentences, and of those removed."""
+    _, ends = sentences(text)
+    if not found:
+        return text, len(ends), 0
+    gone = np.zeros(len(ends), dtype=bool)
+    for s in found:
+        gone[s["first"] : s["first"] + s["n"]] = True
+    words = [m.start() for m in _WORD.finditer(text)]
+    borders = [words[e] if e < len(words) else len(text) for e in ends]
+    parts = [text[a:b] for a, b, g in zip([words[0], *borders[:-1]], borders, gone) if not g]
+    return text[: words[0]] + "".join(parts), len(ends), int(gone.sum())
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sentences: str | None = None, n_removed: str | None = None) -> DataFrame:
     """docs with the sentences of repeated runs taken out; optional columns with the sentences before, and those removed."""
-    found = repeated(docs, id_col, text_col).withColumnRenamed("doc", "_doc").withColumnRenamed("key", "_key")
-    keyed = docs.withColumn("_own", F.xxhash64(text_of(text_col)))
-    joined = keyed.join(found, (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    found = repeated(docs, id_col, text_col)
+    joined = docs.withColumn("_own", text_hash(text_of(text_col))).join(found, (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
     columns = [f for f in docs.schema.fields if f.name != text_col]
     rows = joined.select(*[F.col(f"`{f.name}`") for f in columns], F.col(text_col).alias("_text"), "_spans")
-    extra = [(n_sentences, "_n"), (n_removed, "_m")]
 
     def make():
+        own_words()
+
         def run(cols):
             texts, n, m = [], [], []
-            for text, found in zip(cols["_text"], cols["_spans"]):
-                parts = sentences(text or "")
-                gone = set()
-                for s in found or ():
-                    gone.update(range(s["first"], s["after"]))
-                # text without words between removed sentences goes with them
-                gone = {i for i in gone if i < len(parts)}
-                texts.append("".join([p for i, p in enumerate(parts) if i not in gone]) if gone else text)
-                n.append(len(parts))
-                m.append(len(gone))
+            for text, spans in zip(cols["_text"], cols["_spans"]):
+                left, own, gone = cut(text or "", spans)
+                texts.append(left if gone else text)
+                n.append(own)
+                m.append(gone)
             return {f.name: cols[f.name] for f in columns} | {"_text": texts, "_n": n, "_m": m}
 
         return run
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["_text string, _n long, _m long"])
     out = map_batches(rows, make, schema)
+    extra = [(n_sentences, "_n"), (n_removed, "_m")]
     return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(name) for name, c in extra if name])
 
 
