@@ -50,8 +50,11 @@ def scores(queries: DataFrame, ranker: Ranker, postings: DataFrame, terms: DataF
 
 def cosine(queries: DataFrame, postings: DataFrame, terms: DataFrame, tf_type: str = "r") -> DataFrame:
     """(qid, doc_id, score): the angle between a document's weights over the vocabulary and the query's idf."""
-    x = F.col(TF[tf_type]) * F.col("idf") * F.col("weight")
-    weights = postings.join(terms.select("term", "idf"), "term").select("term", "doc_id", "idf", x.alias("x"))
+    return cosine_of(queries, doc_weights(postings, terms, tf_type), terms)
+
+
+def cosine_of(queries: DataFrame, weights: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same from documents' vectors (doc_id, term, x), as they are stored."""
     norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     words = query_terms(queries).join(terms.select("term", "idf"), "term").select("qid", "term", F.col("idf").alias("y"))
     sizes = words.groupBy("qid").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("size"))

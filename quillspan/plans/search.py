@@ -56,6 +56,11 @@ def stored(spark: SparkSession, path: str, docs: DataFrame, p: Parameters = P) -
     return Index(docs, stats, own, terms, unigrams, bigrams, p)
 
 
+def stored_vectors(spark: SparkSession, path: str, i: Index, tf_type: str = "r") -> DataFrame:
+    """Documents' vectors at path, which rk.cosine_of takes; built and written if they aren't there."""
+    return ensure(spark, f"{path}/doc_weights_{tf_type}", lambda: rk.doc_weights(i.postings, i.terms, tf_type))
+
+
 def as_queries(spark: SparkSession, texts: list[str], force: bool = False) -> DataFrame:
     """(qid, query, tokens, force)."""
     rows = spark.createDataFrame([(i, t, force) for i, t in enumerate(texts)], "qid long, query string, force boolean")

@@ -1,17 +1,18 @@
 """Corpora: XML collections of pages, tables of pages or texts; all become docs(doc_id, url, title, body)."""
 
-from __future__ import annotations
-
+import html
 import tempfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.analysis import clean
 
 FILES = "WebIR*.xml"
-#: Named entities decoded without a UDF; numeric ones are decoded by entities().
+#: Named entities decoded without a UDF; all others take all_entities().
 NAMED = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&middot;": "·", "&laquo;": "«", "&raquo;": "»", "&zwnj;": "‌", "&amp;": "&"}
 
 
@@ -21,6 +22,12 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("DOCID").alias("doc_id"), F.trim("URL").alias("url"), F.col("HTML").alias("html"))
 
 
+@F.pandas_udf(StringType())
+def all_entities(text: pd.Series) -> pd.Series:
+    """Every character reference, numeric ones too; column functions have no table of them."""
+    return text.map(html.unescape, na_action="ignore")
+
+
 def entities(text: Column) -> Column:
     """Named entities of the list above; the ampersand last, so that nothing is decoded twice."""
     for name, char in NAMED.items():
@@ -28,26 +35,29 @@ def entities(text: Column) -> Column:
     return text
 
 
-def without_scripts(html: Column) -> Column:
-    html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+def without_scripts(page: Column) -> Column:
+    page = F.regexp_replace(page, r"(?s)<!--.*?-->", "")
     for tag in ("script", "style"):
-        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    return html
+        page = F.regexp_replace(page, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    return page
+
 
+def title_of(page: Column) -> Column:
+    return F.regexp_extract(without_scripts(page), r"(?is)<title[^>]*>(.*?)</title>", 1)
 
-def title_of(html: Column) -> Column:
-    return entities(F.regexp_extract(without_scripts(html), r"(?is)<title[^>]*>(.*?)</title>", 1))
 
+def body_of(page: Column) -> Column:
+    inner = F.regexp_extract(without_scripts(page), r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)
+    return F.regexp_replace(inner, r"(?s)<[^>]*>", "")
 
-def body_of(html: Column) -> Column:
-    inner = F.regexp_extract(without_scripts(html), r"(?is)<body[^>]*>(.*?)(?:</body>|\z)", 1)
-    return entities(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))
 
+def parse_pages(pages: DataFrame, id_col: str = "page_id", decode=entities) -> DataFrame:
+    """docs of pages (id, url, html): title and body text, without markup, comments, scripts and styles.
 
-def parse_pages(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """docs of pages (id, url, html): title and body text, without markup, comments, scripts and styles."""
-    html = F.coalesce("html", F.lit(""))
-    return with_lengths(pages.select(F.col(id_col).alias("doc_id"), "url", title_of(html).alias("title"), body_of(html).alias("body")))
+    ``decode`` turns character references into characters: entities, or all_entities for any that there are.
+    """
+    page = F.coalesce("html", F.lit(""))
+    return with_lengths(pages.select(F.col(id_col).alias("doc_id"), "url", decode(title_of(page)).alias("title"), decode(body_of(page)).alias("body")))
 
 
 def parse_texts(texts: DataFrame) -> DataFrame:

@@ -132,6 +132,9 @@ def test_pages_and_xml(spark, tmp_path):
     assert (got[1].title, got[1].body) == ("A & B", "onetwo <3") and (got[2].title, got[2].body) == ("", "")
     corpus.write_xml(pages.where("doc_id = 1"), str(tmp_path / "c"))
     (tmp_path / "c" / "other.xml").write_text("<ROOT><DOC><DOCID>9</DOCID></DOC></ROOT>")
+    odd = spark.createDataFrame([(1, "u", "<title>&#1587;&eacute;</title><body>&amp;lt; &#x41;")], "doc_id long, url string, html string")
+    whole = corpus.parse_pages(odd, "doc_id", corpus.all_entities).first()
+    assert (whole.title, whole.body) == ("سé", "&lt; A")
     back = corpus.read_xml(spark, str(tmp_path / "c")).collect()
     assert [(r.doc_id, r.url, r.html) for r in back] == [("1", "u", html)]
 
@@ -141,4 +144,8 @@ def test_stored_index(spark, docs, tmp_path):
     first = se.stored(spark, path, docs)
     again = se.stored(spark, path, docs.limit(0))
     assert again.all_terms.count() == first.all_terms.count() > 0
+    free = se.Index(first.docs, first.stats, first.postings, first.all_terms, first.unigrams, first.bigrams, se.Parameters(minor=0))
+    vectors = se.stored_vectors(spark, str(tmp_path / "v"), free)
+    q = se.as_queries(spark, ["alpha delta"])
+    assert sorted(rk.cosine_of(q, vectors, free.terms).collect()) == sorted(rk.cosine(q, free.postings, free.terms).collect()) != []
     assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["bigrams", "corpus_stats", "docs", "minor_terms", "postings", "terms", "unigrams"]
