@@ -10,9 +10,10 @@ constant ones are template.  The text is what stands in varying slots, without
 the parts whose markup says that they aren't article (menus, footers, adverts,
 forms, comments), and within the article or main element where there is one.
 
-Counting is a grouped sum over all pages, so the size of a host does not matter;
-pages meet their pivot and their host's constants by joins on the host and a
-salt, with as many salts as the host's pages need.
+Counting is a grouped sum over all pages, so the size of a host does not matter.
+Pages meet their pivot and their host's constants by a broadcast of these, where
+they are small, and else by joins on the host and a salt, with as many salts as a
+host's pages need.
 
 Defined results: a null or empty page has the empty text; a null url and one
 without a host share the host of empty name; a host with fewer than MIN_PAGES
@@ -28,10 +29,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of, written
+from .common import claim, map_batches, text_of, written
 
-#: Pages of a host that one salt serves, about.
+#: Pages of a hot host that one salt serves, at least.
 SALT_PAGES = 2000
+#: Tables of hosts up to these sizes go to all tasks.
+BROADCAST_BYTES, MANY_HOSTS = 32_000_000, 200_000
 #: A node's text is template if this share of the host's distinct pages has it there, and so many pages.
 SHARE, MIN_PAGES = 0.5, 10
 #: A matched node beside which all equal texts of a page weigh little.
@@ -289,22 +292,35 @@ def candidates(found: list[tuple[str, str, bool, bool]]) -> list[tuple[int, str]
     return [(slot_key(slot, text), text) for slot, text, aside, _ in found if not aside]
 
 
-def salted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pages with a salt, and (host, salt) for all salts of each host."""
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    sizes = written(sizes.withColumn("salts", F.ceil(F.col("pages") / SALT_PAGES).cast("int")), "hosts")
-    keyed = pages.join(sizes.select("host", "salts"), "host").withColumn("salt", F.pmod(F.col("key"), F.col("salts")).cast("int")).drop("salts")
-    return keyed, sizes.select("host", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+def with_host_table(pages: DataFrame, table: DataFrame, size: str) -> DataFrame:
+    """pages with the columns of a table of hosts, of which the column ``size`` tells each row's bytes.
+
+    A table of BROADCAST_BYTES at most goes to all tasks.  A larger one is joined
+    on the host and a salt: hosts of more than a thousandth of all pages, which are
+    a thousand at most, have as many salts as such parts.
+    """
+    if (table.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]) <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(table.drop(size)), "host", "left")
+    part = max(SALT_PAGES, pages.count() // 1000)
+    hot = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") > part)
+    hot = hot.select("host", F.ceil(F.col("pages") / part).cast("int").alias("salts"))
+    hot = written(hot, "hot-hosts")
+    keyed = pages.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.col("key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spread = table.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts", size)
+    return keyed.join(spread, ["host", "salt"], "left").drop("salt")
 
 
-_last_pivot: list = [None, None]
+_trees: dict[str, Node] = {}
 
 
 def tree_of(pivot: str) -> Node:
-    """A pivot's tree; rows come sorted by host, so one is kept."""
-    if _last_pivot[0] != pivot:
-        _last_pivot[:] = [pivot, depth_safe(pivot)]
-    return _last_pivot[1]
+    """A pivot's tree; a worker keeps those that it has met last."""
+    if pivot not in _trees:
+        claim("trees", _trees.clear)
+        if len(_trees) >= 200:
+            del _trees[next(iter(_trees))]
+        _trees[pivot] = depth_safe(pivot)
+    return _trees[pivot]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -312,36 +328,31 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     html = text_of(html_col)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), html.alias("html"), F.xxhash64(html).alias("key"))
-    keyed, salts = salted(rows)
-    pivots = rows.groupBy("host").agg(F.min(F.struct("key", "html")).alias("p")).select("host", F.col("p.html").alias("pivot"))
-    pivots = written(pivots, "pivots")
-    with_pivot = keyed.join(salts.join(pivots, "host"), ["host", "salt"]).sortWithinPartitions("host", "key")
+    least = rows.groupBy("host").agg(F.min("key").alias("key"))
+    small = least.count() <= MANY_HOSTS
+    pivots = rows.select("host", "key", "html").join(F.broadcast(least) if small else least, ["host", "key"]).groupBy("host").agg(F.min("html").alias("pivot"))
+    pivots = written(pivots.withColumn("bytes", F.octet_length("pivot")), "pivots")
+    with_pivot = with_host_table(rows, pivots, "bytes").select("page_id", "url", "host", "key", "html", "pivot")
 
     def make():
-        last: list = [None]
-
         def run(cols):
-            out, first = [], []
-            for host, key, html, pivot in zip(cols["host"], cols["key"], cols["html"], cols["pivot"]):
-                out.append([{"slot": k, "text": t} for k, t in candidates(aligned(html, tree_of(pivot)))])
-                first.append(last[0] != (host, key))
-                last[0] = (host, key)
-            return {c: cols[c] for c in ("page_id", "url", "host")} | {"first": first, "blocks": out}
+            out = [[{"slot": k, "text": t} for k, t in candidates(aligned(html, tree_of(pivot)))] for html, pivot in zip(cols["html"], cols["pivot"])]
+            return {c: cols[c] for c in ("page_id", "url", "host", "key")} | {"blocks": out}
 
         return run
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    with_pivot = with_pivot.select("page_id", "url", "host", "key", "html", "pivot")
-    found = written(map_batches(with_pivot, make, f"page_id {kind}, url string, host string, first boolean, blocks array<struct<slot: long, text: string>>"), "blocks")
+    found = written(map_batches(with_pivot, make, f"page_id {kind}, url string, host string, key long, blocks array<struct<slot: long, text: string>>"), "blocks", "zstd")
     # copies of a page count once
-    distinct = found.where("first")
-    counts = distinct.select("host", F.explode(F.array_distinct("blocks.slot")).alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n"))
+    distinct = found.select("host", "key", F.array_distinct("blocks.slot").alias("slots")).dropDuplicates(["host", "key"])
+    distinct = written(distinct, "slots")
+    counts = distinct.select("host", F.explode("slots").alias("slot")).groupBy("host", "slot").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
     sizes = distinct.groupBy("host").agg(F.count("*").alias("of"))
-    fixed = counts.where(F.col("n") >= MIN_PAGES).join(sizes, "host").where(F.col("n") >= SHARE * F.col("of"))
-    constants = fixed.groupBy("host").agg(F.collect_set("slot").alias("constant"))
+    fixed = counts.join(sizes, "host").where(F.col("n") >= SHARE * F.col("of"))
+    constants = fixed.groupBy("host").agg(F.collect_set("slot").alias("constant")).withColumn("bytes", 8 * F.size("constant") + F.octet_length("host"))
     kept = F.filter("blocks", lambda b: ~F.array_contains("constant", b["slot"]))
     texts = F.transform(F.when(F.col("constant").isNull(), F.col("blocks")).otherwise(kept), lambda b: b["text"])
-    return found.join(constants, "host", "left").select("page_id", "url", F.array_join(texts, " ").alias("text"))
+    return with_host_table(found, written(constants, "constants"), "bytes").select("page_id", "url", F.array_join(texts, " ").alias("text"))
 
 
 def op1_html_text(spark, sf_dir: str) -> DataFrame:

@@ -167,7 +167,10 @@ def test_article_text(spark):
     assert got == {0: "Ti & tle One two three four <5> six seven", 1: "plain é page", 2: "", 3: "", 4: "Ti & tle One two three four <5> six seven"}
 
 
-def test_constant_nodes_are_template(spark):
+@pytest.mark.parametrize("size", [wrappers.BROADCAST_BYTES, 0])
+def test_constant_nodes_are_template(spark, monkeypatch, size):
+    monkeypatch.setattr(wrappers, "BROADCAST_BYTES", size)
+    monkeypatch.setattr(wrappers, "SALT_PAGES", 7)
     r = random.Random(1)
     pages, expected = [], []
     for i in range(40):
