@@ -73,6 +73,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: A table of fewer rows, of a few dozen bytes each, goes to all tasks.
+SMALL_ROWS = 500_000
+
+
+def if_small(df: DataFrame) -> DataFrame:
+    """df, a written table of short keys, marked for a broadcast where its size allows it."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A null text counts as the empty one."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

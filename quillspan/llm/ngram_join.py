@@ -27,10 +27,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, map_batches, text_key, text_of, written
+from .common import bounded_batches, claim, if_small, map_batches, text_key, text_of, written
 
 #: Members of a block; two blocks are compared at once.
 BLOCK = 400
@@ -63,6 +63,11 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def own_words() -> None:
+    """Called in a task: a function of a module acts on the worker's own dictionary, a pickled closure would have a copy."""
+    claim("n-grams", _hashes.clear)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -114,6 +119,8 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     docs = docs.select(text_of().alias("text"), "doc_id").withColumn("text_key", text_key(F.col("text")))
 
     def make():
+        own_words()
+
         def run(cols):
             sets = [ngrams(t, n) for t in cols["text"]]
             full = [s for s in sets if len(s)]
@@ -131,10 +138,13 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_key binary, text_key binary, sig binary, bands array<long>")
 
 
-def in_block_pairs(members: DataFrame, key: list[str]) -> DataFrame:
-    """members with columns bi and bj: a row for each pair of blocks of its group that it is part of, and side."""
-    sizes = members.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+def block_count(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int").alias("blocks")
+
+
+def in_block_pairs(members: DataFrame) -> DataFrame:
+    """members (v, blocks) with columns bi and bj: a row for each pair of blocks of its group that it is part of, and side."""
+    rows = members.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).withColumn("side", (F.col("own") != F.col("bi")).cast("int")).drop("own", "other", "blocks")
 
@@ -253,6 +263,8 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
 def verify(threshold: float, n: int):
     """In a group: each vertex's number of linked texts as (v, null, links), and a forest of the links as (v, w, 0)."""
 
+    own_words()
+
     def run(members, texts, side, weights, same):
         left, right = sides(side, same)
         if not left.size or not right.size:
@@ -299,15 +311,17 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     sets = table.groupBy("set_key").agg(F.count("*").alias("weight"), F.min("text_key").alias("text_key"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).withColumnRenamed("set_key", "v")
     sets = written(sets, "sets")
     placed = sets.where(F.col("bands").isNotNull()).select("v", F.posexplode("bands").alias("band", "hash"))
-    met = placed.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = placed.join(met, ["band", "hash"]).join(sets.select("v", "sig", F.lit(0).alias("weight")), "v")
-    pairs = by_group(in_block_pairs(members, ["band", "hash"]), ["band", "hash"], "sig", lambda: compare_signatures(threshold - SLACK), "v binary, w binary")
+    # buckets are a table of their own, so that Spark may split the join where one bucket has many members
+    met = placed.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").select("band", "hash", block_count(F.col("n")))
+    members = placed.join(written(met, "buckets"), ["band", "hash"]).join(sets.select("v", "sig", F.lit(0).alias("weight")), "v")
+    pairs = by_group(in_block_pairs(members), ["band", "hash"], "sig", lambda: compare_signatures(threshold - SLACK), "v binary, w binary")
     groups = components(pairs)
     # one text stands for all of its set
     wanted = sets.join(groups, "v").select("v", "root", "weight", "text_key")
     texts = docs.select(text_of().alias("text")).withColumn("text_key", text_key(F.col("text"))).groupBy("text_key").agg(F.first("text").alias("text"))
-    members = written(wanted.join(texts, "text_key").drop("text_key"), "members")
-    found = written(by_group(in_block_pairs(members, ["root"]), ["root"], "text", lambda: verify(threshold, n), "v binary, w binary, links long"), "links")
+    sizes = written(groups.groupBy("root").agg(block_count(F.count("*"))), "group-sizes")
+    members = written(wanted.join(texts, "text_key").drop("text_key"), "members").join(if_small(sizes), "root")
+    found = written(by_group(in_block_pairs(members), ["root"], "text", lambda: verify(threshold, n), "v binary, w binary, links long"), "links")
     links = found.where(F.col("w").isNull()).groupBy("v").agg(F.sum("links").alias("n_links"))
     roots = components(found.where(F.col("w").isNotNull()).select("v", "w"))
     classes = sets.select("v", F.col("weight").alias("n_copies")).join(links, "v", "left").join(roots, "v", "left")
