@@ -13,7 +13,7 @@ from ..operators import index as ix
 from ..operators import language_model as lm
 from ..operators import ranking as rk
 from ..operators import spelling as sp
-from ..sources.corpus import ensure
+from ..sources.corpus import ensure, kept
 
 P = Parameters()
 
@@ -70,7 +70,7 @@ def as_queries(spark: SparkSession, texts: list[str], force: bool = False) -> Da
 def check(queries: DataFrame, i: Index) -> DataFrame:
     """(qid, searched, suggestion, active): which strings are searched for each query, and what is suggested."""
     p, vocabulary = i.p, i.terms
-    corrected = sp.correct(queries, vocabulary, i.unigrams, i.bigrams, p).withColumn("tokens", clean(F.col("text")))
+    corrected = kept(sp.correct(queries, vocabulary, i.unigrams, i.bigrams, p).withColumn("tokens", clean(F.col("text"))), "corrected")
     raw_hits = ix.matching_docs(queries.select("qid", "tokens"), i.postings, vocabulary).withColumnRenamed("hits", "raw_hits")
     own_hits = ix.matching_docs(corrected.select("qid", "tokens"), i.postings, vocabulary).withColumnRenamed("hits", "own_hits")
     rows = queries.select("qid", "query", "force").join(corrected.select("qid", "text", "p"), "qid").join(raw_hits, "qid").join(own_hits, "qid")
@@ -96,9 +96,9 @@ def rank(queries: DataFrame, i: Index, ranker: str = "t", tf_type: str = "r", id
     return rk.scores(queries, rk.TfIdf(tf_type, idf_type), i.postings, i.terms, i.docs, i.stats)
 
 
-def search(queries: DataFrame, i: Index, regex: bool = False, **request: str | None) -> DataFrame:
+def search(queries: DataFrame, i: Index, regex: bool = False, checked: DataFrame | None = None, **request: str | None) -> DataFrame:
     """(qid, query_pos, rank, doc_id, url, title, body, score): results of all that is searched for each query, one after another."""
-    checked = check(queries, i)
+    checked = kept(check(queries, i), "checked") if checked is None else checked
     strings = checked.select("qid", F.posexplode("searched").alias("query_pos", "query"))
     keyed = strings.select(F.struct("qid", "query_pos").alias("qid"), clean(F.col("query")).alias("tokens"))
     best = rk.top(rank(keyed, i, *parameters(**request)), i.p.results).select("qid.*", "rank", "doc_id", "score")
@@ -109,8 +109,8 @@ def search(queries: DataFrame, i: Index, regex: bool = False, **request: str | N
 def respond(queries: DataFrame, i: Index, **request: str | None) -> DataFrame:
     """(qid, response): each query's response as JSON; a query that is null or empty is a bad request."""
     good = queries.where(F.length("query") > 0)
-    results = search(good, i, **request).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("query_pos", "rank", F.struct(F.col("doc_id").alias("id"), "url", "title", "body", "score").alias("r")))).alias("rs"))
-    checked = check(good, i)
+    checked = kept(check(good, i), "checked")
+    results = search(good, i, checked=checked, **request).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("query_pos", "rank", F.struct(F.col("doc_id").alias("id"), "url", "title", "body", "score").alias("r")))).alias("rs"))
     correction = F.when(F.col("active") | (F.col("suggestion") != ""), F.struct("active", F.col("suggestion").alias("query")))
     listed = F.coalesce(F.transform("rs", lambda x: x["r"]), F.array())
     answers = checked.join(results, "qid", "left").select("qid", F.to_json(F.struct(F.lit(True).alias("success"), correction.alias("correction"), listed.alias("results")), {"ignoreNullFields": "false"}).alias("response"))

@@ -2,6 +2,7 @@
 
 import html
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -85,6 +86,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ensure(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table at path, built and written if it isn't there; it is always read back."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
