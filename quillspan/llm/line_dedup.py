@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, text_of, written
+from .common import if_small, text_key, text_of, written
 
 BLANKS = r"[\t\r\f\x0B ]+"
 
@@ -38,21 +38,23 @@ def boilerplate(docs: DataFrame, site_col: str, min_sites: int, margin: float =
     pages = docs.select(text_of().alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"))
     lines = pages.select(text_key(F.col("text")).alias("page"), "site", F.explode(F.split("text", "\n")).alias("raw")).where(normal(F.col("raw")) != "")
     lines = lines.select("page", "site", line_key(F.col("raw")).alias("line"))
-    # a line of fewer rows than the threshold cannot have as many sites: only others are sketched
-    often = lines.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    rows = written(lines.join(often, "line").groupBy("line", "page").agg(F.min("site").alias("site")), "lines")
+    # partial aggregation and two keys spread a line that is on every page over all tasks
+    pages_of = written(lines.groupBy("line", "page").agg(F.min("site").alias("site")), "lines")
+    # a line of fewer pages than the threshold cannot have as many sites: only others are sketched
+    often = written(pages_of.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line"), "often")
+    rows = written(pages_of.join(if_small(often), "line"), "candidates")
     spread = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
     spread = written(spread.where(F.col("estimate") >= min_sites * (1 - margin)), "spread")
     near = spread.where(F.col("estimate") < min_sites * (1 + margin)).select("line")
     exact = rows.join(near, "line").groupBy("line", "site").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n_sites"))
     sure = spread.where(F.col("estimate") >= min_sites * (1 + margin)).select("line", F.col("estimate").alias("n_sites"))
-    return rows.select("line", "page"), sure.unionByName(exact.where(F.col("n_sites") >= min_sites))
+    return rows.select("line", "page"), written(sure.unionByName(exact.where(F.col("n_sites") >= min_sites)), "boilerplate")
 
 
 def remove_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = 10, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of text; optional columns with the lines before, and those removed."""
     rows, lines = boilerplate(docs, site_col, min_sites)
-    by_page = rows.join(lines.select("line"), "line").groupBy("page").agg(F.collect_set("line").alias("_bad"))
+    by_page = rows.join(if_small(lines.select("line")), "line").groupBy("page").agg(F.collect_set("line").alias("_bad"))
     joined = docs.withColumn("_page", text_key(text_of())).join(by_page.withColumnRenamed("page", "_page"), "_page", "left")
     parts = F.split(text_of(), "\n")
     kept = F.filter(parts, lambda x: ~F.array_contains("_bad", line_key(x)))
