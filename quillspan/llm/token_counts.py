@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exists, map_batches, shared_folder, text_key, text_of
+from .common import claim, exists, map_batches, shared_folder, text_key, text_of, written
 from .tokens import ChunkEncoder, tokenizer_version
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -26,6 +26,7 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 def encoder(name: str, spaced: bool) -> ChunkEncoder:
     """One encoder for each Python worker: workers serve many tasks."""
+    claim("encoder", _encoders.clear)
     if name not in _encoders:
         _encoders.clear()
         _encoders[name] = ChunkEncoder(name, spaced)
@@ -63,6 +64,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     encode_misses(misses, tokenizer, version).write.mode("append").parquet(cache)
     # runs side by side may both append an entry: they agree, and one is read
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = written(counts, "counts")  # as a table of its own, so that the join may split a content that a third of all rows have
     sizes = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
     return sizes.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
 
