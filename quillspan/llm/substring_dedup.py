@@ -137,6 +137,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).withColumn("key", text_hash(F.col("text")))
     found = written(spans(rows.select("doc", "key", "text")), "runs")
     firsts = found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
+    firsts = written(firsts, "repeated-runs")  # as a table of its own, so that Spark may split the join at a very frequent run
     others = found.join(firsts, ["a", "b"]).where(F.col("again") | ~F.col("doc").eqNullSafe(F.col("least")))
     return others.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
 
