@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, text_key, text_of, written
+from .common import claim, fold, map_batches, text_key, text_of, written
 from .tokens import tokenizer_path
 
 MARK = "▁"
@@ -172,6 +172,7 @@ _pieces: dict[str, Pieces] = {}
 
 
 def pieces_for(model: str) -> Pieces:
+    claim("pieces", _pieces.clear)
     if model not in _pieces:
         _pieces[model] = Pieces(model)
     return _pieces[model]
@@ -231,6 +232,22 @@ def fit(weighed: DataFrame, classes: list[str], model: str, rounds: int = 3) ->
     return scores
 
 
+def most_frequent(totals: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` of LONG_WORD bytes at most: a bound that doesn't grow with the corpus.
+
+    Counts fall into levels, eight to a doubling; whole levels are taken from above, so no task sorts the words.
+    """
+    level = F.floor(F.log2("c") * 8).cast("int")
+    short = totals.where(F.length("word") <= LONG_WORD).withColumn("level", level)
+    least, taken = None, 0
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):  # some hundred levels
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["level"]
+    return short.where(F.lit(False) if least is None else F.col("level") >= least).drop("level")
+
+
 def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int = 8) -> DataFrame:
     """docs (doc_id, text, held_out, class) to counts, base score and the lattice's score.
 
@@ -252,8 +269,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     n_ends = sum(texts.values())
     n, v = size["n"] + n_ends, size["v"] + (n_ends > 0)
     floor = math.log10(n + 0.5 * (v + 1))
-    # ``frequent`` words of LONG_WORD bytes at most: a bound that doesn't grow with the corpus
-    hot = totals.where(F.length("word") <= LONG_WORD).orderBy(F.desc("c"), "word").limit(frequent).select("word", F.lit(True).alias("hot"))
+    hot = most_frequent(totals, frequent).select("word", F.lit(True).alias("hot"))
     weighed = counts.join(F.broadcast(hot), "word", "left").withColumn("hot", F.col("hot").isNotNull())
     weighed = written(weighed.withColumn("weight", F.when(F.col("hot"), F.lit(discount)).otherwise(F.col("c").cast("double"))), "weighed-words")
     classes = sorted(texts) or [""]
@@ -267,7 +283,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     frequent_words = weighed.where("hot").groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs"))
     table = lattice.look(frequent_words).toArrow()
     index = {w: i for i, w in enumerate(table["word"].to_pylist())}
-    values = np.array(table["sums"].to_pylist()).reshape(len(index), 1 + len(classes))
+    values = np.array(table["sums"].to_pylist(), dtype=float).reshape(len(index), 1 + len(classes))
     share = [math.log(texts[k] / n_ends) if n_ends else 0.0 for k in classes]
     ends = [share[i] + math.log(texts.get(k, 1)) - arcs[k] for i, k in enumerate(classes)]
     key = text_key(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("doc_id").isNull().cast("string"), "text"))
