@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,11 +64,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 _holder: list = [None, None]
 
 
-def claim(name: str, clear: Callable[[], None]) -> None:
-    """A Python worker serves tasks of many operators: it keeps one operator's dictionary, and forgets the last one's."""
+def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
+    """A Python worker serves tasks of many operators: it keeps one operator's dictionary, and gives the last one's memory back."""
     if _holder[0] != name:
         if _holder[1]:
             _holder[1]()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library can't, memory stays with the process
+                ctypes.CDLL(None).malloc_trim(0)
         _holder[:] = [name, clear]
 
 

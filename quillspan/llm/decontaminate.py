@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_key, text_of, written
+from .common import claim, map_batches, text_key, text_of, written
 from .ngram_join import mix
 
 #: Marks that don't belong to the word beside them.
@@ -41,7 +41,7 @@ class BareHashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word.strip(MARKS))
-        if len(self) < 700_000:
+        if len(self) < 400_000:
             self[word] = h
         return h
 
@@ -49,6 +49,11 @@ class BareHashes(dict):
 _hashes = BareHashes()
 
 
+def own_words() -> None:
+    """Called in a task: a function of a module acts on the worker's own dictionary, a pickled closure would have a copy."""
+    claim("bare words", _hashes.clear)
+
+
 def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, text.lower().split()), dtype=np.uint64)
 
@@ -107,6 +112,8 @@ def gram_counts(docs: DataFrame, finder: Finder, n: int) -> dict[int, int]:
     shared = docs.sparkSession.sparkContext.broadcast(finder)
 
     def make():
+        own_words()
+
         def run(cols):
             found = []
             for text in cols["text"]:
@@ -180,6 +187,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
         shared = spark.sparkContext.broadcast((Finder(np.array(list(seeds), dtype=np.uint64)), seeds, items))
 
         def make(shared=shared):
+            own_words()
             finder, seeds, items = shared.value
 
             def run(cols):

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, text_of
+from .common import claim, fold, map_batches, text_of
 
 PASSAGE_WORDS = 100
 #: Characters up to here have a kind each or share one; all others share kinds by class.
@@ -173,6 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "label", "text")
 
     def make():
+        claim("passages")
+
         def run(cols):
             return {"h": cols["h"], "label": cols["label"], "x": [passages(t).tobytes() for t in cols["text"]]}
 
@@ -190,6 +192,7 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
 
     def make():
+        claim("passages")
         model = shared.value
 
         def run(cols):

@@ -49,13 +49,13 @@ def bands_for(threshold: float, recall: float = 0.999, most: int = 128) -> tuple
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; the first million stay."""
+    """64-bit hashes of words; the first many stay."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 700_000:
+        if len(self) < 400_000:
             self[word] = h
         return h
 
@@ -288,6 +288,7 @@ def components(edges: DataFrame) -> DataFrame:
     Labels pass over edges, and then to the label's own label, so the number of
     rounds grows with the logarithm of the longest path.  Each round is written.
     """
+    edges = written(edges.distinct(), "pairs")
     both = written(edges.unionByName(edges.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct(), "edges")
     labels = written(both.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("root")), "labels")
     while True:
