@@ -1,11 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The benchmark's n-grams are counted over all training texts.
-2. Of each item's n-grams, the rarest half are its seeds, so every item has
-   seeds at any size of the corpus, however often it has leaked.
-3. A text that has a seed is aligned with the item around the place, word by
-   word.  The score is the share of the best possible one, so edited and
-   paraphrased copies score by what they keep.
+"""Benchmark decontamination: pairs of near words as seeds, then Smith-Waterman alignment.
+
+1. Every two words of an item that stand side by side, or with one between, are a
+   seed; none is left out, however common it is.
+2. Between two matches that follow each other in an alignment, an error or none
+   leaves a seed.  A score of ``threshold`` or more of an item of S words has
+   ``threshold * S - 1`` such places at least, whose shifts against the item lie
+   within ``2 * S * (1 - threshold)``: fewer cannot reach the score, and only they
+   are passed over.
+3. Around the others the text is aligned with the item word by word.  The score is
+   the share of the best possible one, so edited and paraphrased copies score by
+   what they keep.
 
 The benchmark travels to the tasks in blocks of at most ``block_bytes`` of text;
 a larger one is done block after block.
@@ -19,8 +23,6 @@ scores in a text the first place is kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,29 +60,25 @@ def word_hashes(text: str) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, text.lower().split()), dtype=np.uint64)
 
 
-def grams(words: np.ndarray, n: int) -> np.ndarray:
-    if len(words) < n:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        h = mix(h ^ words[k : k + len(h)])
-    return h
+def pairs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each two words side by side, then of those with one between; and the place of the first of the two."""
+    h = mix(words)
+    return np.concatenate([mix(h[:-1] ^ words[1:]), mix(h[:-2] ^ words[2:])]), np.concatenate([np.arange(max(0, len(words) - 1)), np.arange(max(0, len(words) - 2))])
 
 
 class Finder:
-    """Tells where n-grams of a set stand; a bit table passes over nearly all others."""
+    """Tells where hashes of a set stand, and their numbers in it; a bit table passes over nearly all others."""
 
     def __init__(self, wanted: np.ndarray):
         self.wanted = np.unique(wanted)
         self.bits = np.zeros(1 << _BITS, dtype=bool)
         self.bits[(self.wanted >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def places(self, found: np.ndarray) -> np.ndarray:
+    def places(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(self.bits[(found >> np.uint64(64 - _BITS)).astype(np.int64)])
-        if not at.size:
-            return at
         near = np.minimum(np.searchsorted(self.wanted, found[at]), len(self.wanted) - 1)
-        return at[self.wanted[near] == found[at]]
+        same = self.wanted[near] == found[at]
+        return at[same], near[same]
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -107,71 +105,83 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [sized.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [sized]
 
 
-def gram_counts(docs: DataFrame, finder: Finder, n: int) -> dict[int, int]:
-    """The number of texts that have each n-gram of the finder; at most as many as the benchmark has."""
-    shared = docs.sparkSession.sparkContext.broadcast(finder)
-
-    def make():
-        own_words()
-
-        def run(cols):
-            found = []
-            for text in cols["text"]:
-                g = grams(word_hashes(text), n)
-                found.append(np.unique(g[shared.value.places(g)]))
-            h, c = np.unique(np.concatenate(found), return_counts=True)
-            return {"h": h.view(np.int64), "c": c}
-
-        return run
-
-    rows = map_batches(docs.select(text_of().alias("text")), make, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).collect()
-    return {np.int64(r["h"]).astype(np.uint64).item(): r["c"] for r in rows}
-
-
-def seeds_of(items: list[tuple[object, np.ndarray]], counts: dict[int, int], n: int) -> dict[int, list[tuple[int, int]]]:
-    """n-gram to (item's number, place in it), for each item's rarest half of n-grams."""
-    seeds = defaultdict(list)
-    for number, (_, words) in enumerate(items):
-        g = grams(words, n).tolist()
-        rare = sorted(set(g), key=lambda h: (counts.get(h, 0), h))
-        rare = set(rare[: (len(rare) + 1) // 2])
-        for place, h in enumerate(g):
-            if h in rare:
-                seeds[h].append((number, place))
-    return dict(seeds)
-
-
-def leaks_in(words: np.ndarray, g: np.ndarray, places: np.ndarray, seeds, items, threshold: float) -> dict[int, tuple[float, int, int]]:
-    """Of one text: item's number to (score, first word, number of words)."""
-    starts = defaultdict(list)
-    for at in places.tolist():
-        for number, place in seeds[int(g[at])]:
-            starts[number].append(at - place)
-    out = {}
-    for number, at in starts.items():
-        item = items[number][1]
-        size, slack = len(item), len(item) // 2 + 2
-        spans: list[list[int]] = []
-        for s in sorted(set(at)):
-            lo, hi = max(0, s - slack), min(len(words), s + size + slack)
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
-        for lo, hi in spans:
-            part = words[lo:hi]
-            if MATCH * np.isin(item, part).sum() < threshold * MATCH * size:
-                continue  # not even all common words in order would do
-            best, end = align(item, part)
-            score = best / (MATCH * size)
-            if score >= threshold and score > out.get(number, (0,))[0]:
-                _, back = align(item[::-1], part[:end][::-1])
-                out[number] = (score, lo + end - back, back)
-    return out
+def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges after one another, and the range of each."""
+    n = hi - lo
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
+
+
+class Seeds:
+    """The pairs of all items, and how many of them an item's copy has at least."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]], threshold: float):
+        self.items, self.threshold = items, threshold
+        found = [pairs(w) for _, w in items]
+        hashes = np.concatenate([h for h, _ in found])
+        self.finder = Finder(hashes)
+        self.size = np.array([len(w) for _, w in items])
+        self.base = np.concatenate([[0], np.cumsum(self.size)])  # places have numbers over all items
+        self.keys, self.places = np.searchsorted(self.finder.wanted, hashes), np.concatenate([p for _, p in found])
+        self.bounds = np.concatenate([[0], np.cumsum([len(h) for h, _ in found])])
+        numbers = np.repeat(np.arange(len(items)), np.diff(self.bounds))
+        order = np.argsort(self.keys, kind="stable")
+        self.own, self.of = (self.base[numbers] + self.places)[order], np.searchsorted(self.keys[order], np.arange(len(self.finder.wanted) + 1))
+        self.least = np.maximum(1, np.ceil(threshold * self.size - 1 - 1e-9)).astype(np.int64)
+        self.drift = np.floor(2 * self.size * (1 - threshold) + 1e-9).astype(np.int64)
+
+    def leaks_in(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        """Of one text: item's number to (score, first word, number of words)."""
+        h, at = pairs(words)
+        found, key = self.finder.places(h)
+        if not found.size:
+            return {}
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[found[order]]
+        once = key[np.concatenate([[True], key[1:] != key[:-1]])]
+        own = np.unique(self.own[spread(self.of[once], self.of[once + 1])[0]])
+        n = np.bincount(np.searchsorted(self.base, own, side="right") - 1, minlength=len(self.items))
+        out = {}
+        for number in np.flatnonzero(n >= self.least).tolist():
+            mine = slice(self.bounds[number], self.bounds[number + 1])
+            keys, places = self.keys[mine], self.places[mine]
+            hit, of = spread(np.searchsorted(key, keys, side="left"), np.searchsorted(key, keys, side="right"))
+            # two pairs from one place to one place count once
+            size, drift, more = self.size[number], self.drift[number], self.least[number] - 1
+            both = np.unique(at[hit] * size + places[of])
+            shift = np.sort(both // size - both % size)
+            first = shift[: len(shift) - more]
+            if (got := best_in(self.items[number][1], words, first[shift[more:] - first <= drift], int(drift), self.threshold)) is not None:
+                out[number] = got
+        return out
+
+
+def best_in(item: np.ndarray, words: np.ndarray, shifts: np.ndarray, drift: int, threshold: float) -> tuple[float, int, int] | None:
+    """(score, first word, number of words) of the best alignment near the shifts, in order; none below the threshold."""
+    size, best = len(item), None
+    spans: list[list[int]] = []
+    for s in shifts.tolist():
+        lo, hi = max(0, s - drift), min(len(words), s + size + drift)
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
+    for lo, hi in spans:
+        part = words[lo:hi]
+        if MATCH * np.isin(item, part).sum() < threshold * MATCH * size:
+            continue  # not even all common words in order would do
+        top, end = align(item, part)
+        score = top / (MATCH * size)
+        if score >= threshold and score > (best or (0,))[0]:
+            _, back = align(item[::-1], part[:end][::-1])
+            best = (score, lo + end - back, back)
+    return best
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, text_key, item_id, score, first_word, n_words): each text with each item that it has a copy of."""
+    if threshold * n <= 1:
+        raise ValueError("a copy has a pair of near words for sure only where the threshold is more than 1 / n")
     spark = docs.sparkSession
     kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_key binary, item_id {item_kind}, score double, first_word int, n_words int"
@@ -182,25 +192,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
         items = [(r["item_id"], w) for r in rows if len(w := word_hashes(r["text"])) >= n]
         if not items:
             continue
-        counts = gram_counts(texts, Finder(np.concatenate([grams(w, n) for _, w in items])), n)
-        seeds = seeds_of(items, counts, n)
-        shared = spark.sparkContext.broadcast((Finder(np.array(list(seeds), dtype=np.uint64)), seeds, items))
+        shared = spark.sparkContext.broadcast(Seeds(items, threshold))
 
         def make(shared=shared):
             own_words()
-            finder, seeds, items = shared.value
+            seeds = shared.value
 
             def run(cols):
                 out = []
                 for doc, key, text in zip(cols["doc_id"], cols["text_key"], cols["text"]):
-                    words = word_hashes(text)
-                    g = grams(words, n)
-                    if (places := finder.places(g)).size:
-                        best: dict = {}
-                        for number, x in sorted(leaks_in(words, g, places, seeds, items, threshold).items()):
-                            if x[0] > best.get(items[number][0], (0,))[0]:
-                                best[items[number][0]] = x
-                        out += [(doc, key, item, *x) for item, x in best.items()]
+                    best: dict = {}
+                    for number, x in seeds.leaks_in(word_hashes(text)).items():
+                        item = seeds.items[number][0]
+                        if x[0] > best.get(item, (0,))[0]:
+                            best[item] = x
+                    out += [(doc, key, item, *x) for item, x in best.items()]
                 if out:
                     yield dict(zip(("doc_id", "text_key", "item_id", "score", "first_word", "n_words"), zip(*out)))
 

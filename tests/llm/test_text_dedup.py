@@ -250,3 +250,25 @@ def test_leaks(spark, block_bytes):
     kept = dc.drop_leaks(docs, bench)
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - {i for i, _ in planted}
     assert dc.find_leaks(docs.limit(0), bench).count() == 0 and dc.find_leaks(docs, bench.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.15, 0.2, 0.25, 0.3])
+def test_leaks_are_those_of_full_alignment(spark, share):
+    r = random.Random(share)
+    items = [(i, " ".join(words(r, r.choice([3, 4, 5, 8, 20, 35]), 30))) for i in range(24)]
+    texts = []
+    for i in range(240):
+        copy = items[i % 24][1].split()
+        if i >= 24:  # beside an exact copy of each, edited ones
+            for at in sorted(r.sample(range(len(copy)), max(1, round(share * len(copy)))), reverse=True):
+                copy[at : at + 1] = r.choice([["new"], ["new"], [], [copy[at], "more"]])
+        texts.append(" ".join([*words(r, r.randrange(40), 30), *copy, *words(r, r.randrange(40), 30)]))
+    texts += [" more ".join(t.split()) for _, t in items]
+    expected = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            a = dc.word_hashes(item)
+            if (score := dc.align(a, dc.word_hashes(t))[0] / (dc.MATCH * len(a))) >= 0.5:
+                expected[d, i] = score
+    got = dc.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): x.score for x in got} == expected
