@@ -1,9 +1,11 @@
 """Removal of repeated passages by hashes of sliding runs of sentences.
 
 A sentence ends with a word that ends in a mark, or with its line; a sentence of
-more than LONG words is cut further after words that their own hash picks, so
+more than LONG words is cut further after words that their own hash picks, and
+where WINDOW words in a row would have no cut, after the least hash of them, so
 that equal wording is cut alike wherever it stands.  From every sentence a run
-goes on until it has RUN sentences and RUN_WORDS words at least.  Runs are hashed
+goes on until it has RUN sentences and RUN_WORDS words at least: 3 * WINDOW words
+that are repeated, wherever they begin, hold a run.  Runs are hashed
 to 96 bits, and meet all others by their hash.  The first run, by document id and
 then by place, is the original; sentences covered by any other one are removed.
 
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from .common import claim, map_batches, text_of, written
 from .ngram_join import mix
 
-RUN = 3
+RUN = 2
 RUN_WORDS = 16
-LONG = 40
+LONG = 0
+WINDOW = 17
 #: A long sentence is cut after one in so many of its words.
 CUT = 8
 MARKS = ".!?。！？…"
@@ -79,6 +82,12 @@ def sentences(text: str) -> tuple[np.ndarray, np.ndarray]:
     if size.max() > LONG:
         end |= np.repeat(size > LONG, size) & ((h >> np.uint64(1)) % np.uint64(CUT) == 0)
         last = np.flatnonzero(end)
+    size = np.diff(last, prepend=-1)
+    if (wide := np.flatnonzero(size >= WINDOW)).size:
+        n = size[wide] - WINDOW + 1
+        at = np.arange(n.sum()) + np.repeat(last[wide] - size[wide] + 1 - np.cumsum(n) + n, n)
+        end[at + np.lib.stride_tricks.sliding_window_view(mix(h), WINDOW)[at].argmin(axis=1)] = True
+        last = np.flatnonzero(end)
     return h, last + 1
 
 

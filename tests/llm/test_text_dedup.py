@@ -272,3 +272,18 @@ def test_leaks_are_those_of_full_alignment(spark, share):
                 expected[d, i] = score
     got = dc.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id): x.score for x in got} == expected
+
+
+def test_every_passage_over_50_words_holds_a_run():
+    r = random.Random(12)
+    for i in range(3000):
+        every = r.choice([0, 0.02, 0.04, 0.1])  # share of words that end a sentence
+        passage, before, after, other, last = ([w + "." * (r.random() < every) for w in words(r, n, 30)] for n in (51, r.randrange(60), r.randrange(60), r.randrange(60), r.randrange(60)))
+        own = [set(found_runs(" ".join([*a, *passage, *b]))) for a, b in ((before, after), (other, last))]
+        assert own[0] & own[1], (i, every)
+
+
+def found_runs(text):
+    h, ends = sd.sentences(text)
+    _, _, a, b, _ = sd.runs(h, ends)
+    return zip(a.tolist(), b.tolist())
