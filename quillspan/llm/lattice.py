@@ -5,7 +5,7 @@ weighed by the product of its pieces' probabilities and of a stop, and a forward
 recursion in log space sums over all of them.  The vocabulary is that of a public
 tokenizer.  Its own scores order the pieces by rank and are the start;
 expectation maximisation over the training words then turns them into
-probabilities, one set for each of a few classes of texts.  A frequent word also
+probabilities, one set for each of a few classes of texts.  A training word also
 has an arc of its own from start to end, weighed by its discounted share of the
 class's tokens; the lattice has what is left.  A document's probability is the
 sum over classes of the class's share times the product of its words and its
@@ -14,8 +14,8 @@ so do arcs, lattice and end: the whole is a proper distribution.
 
 Counts, the base score and the expectation steps cover all training rows.
 Frequent words, ``frequent`` of them at most, travel with the tasks; all others
-are counted per document and meet their counts by a join, so nothing that grows
-with the corpus is held in one place.
+are counted per document and meet their counts and arcs by a join, with the same
+results, so nothing that grows with the corpus is held in one place.
 
 Defined results: a null text counts as the empty one, whose only token is the
 end; a null id counts as the empty id; equal rows get equal scores, each its own
@@ -37,11 +37,11 @@ from .tokens import tokenizer_path
 
 MARK = "▁"
 LOG10 = math.log(10)
-#: Words of more bytes than this have no arc of their own.
+#: Words of more bytes than this do not travel with the tasks.
 LONG_WORD = 200
 #: Words whose lattices are summed together.
 WORDS_AT_ONCE = 8000
-#: Least that an arc of a frequent word gives to the lattice, in tokens.
+#: Least that an arc of a word gives to the lattice, in tokens.
 LEAST_DISCOUNT = 0.05
 
 
@@ -221,12 +221,12 @@ def expected(words: DataFrame, model: str, scores: dict[str, np.ndarray]) -> Dat
 
 
 def fit(weighed: DataFrame, classes: list[str], model: str, rounds: int = 3) -> dict[str, np.ndarray]:
-    """Scores of each class: ``rounds`` steps over its frequent words, then one over all."""
+    """Scores of each class: ``rounds`` steps and a last one, each over all its words."""
     pieces = pieces_for(model)
     scores = {k: np.log(pieces.start) for k in classes}
-    for source in [weighed.where("hot")] * rounds + [weighed]:
+    for _ in range(rounds + 1):
         got = {k: np.zeros(pieces.size) for k in classes}
-        for r in expected(source, model, scores).collect():  # classes times the vocabulary at most
+        for r in expected(weighed, model, scores).collect():  # classes times the vocabulary at most
             got[r["class"]][r["piece"]] = r["c"]
         scores = {k: pieces.learnt(got[k]) for k in classes}
     return scores
@@ -269,9 +269,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     n_ends = sum(texts.values())
     n, v = size["n"] + n_ends, size["v"] + (n_ends > 0)
     floor = math.log10(n + 0.5 * (v + 1))
-    hot = most_frequent(totals, frequent).select("word", F.lit(True).alias("hot"))
-    weighed = counts.join(F.broadcast(hot), "word", "left").withColumn("hot", F.col("hot").isNotNull())
-    weighed = written(weighed.withColumn("weight", F.when(F.col("hot"), F.lit(discount)).otherwise(F.col("c").cast("double"))), "weighed-words")
+    weighed = written(counts.withColumn("weight", F.lit(float(discount))), "weighed-words")
     classes = sorted(texts) or [""]
     scores = fit(weighed, classes, model)
     sums = {r["class"]: r for r in weighed.groupBy("class").agg(F.sum("c").alias("c"), F.sum("weight").alias("w")).collect()}
@@ -280,8 +278,8 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     rest = [math.log((sums[k]["w"] if k in sums else 1) / tokens[k]) for k in classes]
     lattice = Lattice(model, np.stack([scores[k] for k in classes], axis=1), rest, floor)
     pivot = [F.sum(F.when(F.col("class") == k, F.greatest(F.col("c") - discount, F.lit(0.0)) / tokens[k])).alias(f"arc{i}") for i, k in enumerate(classes)]
-    frequent_words = weighed.where("hot").groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs"))
-    table = lattice.look(frequent_words).toArrow()
+    known = written(weighed.groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs")), "known-words")
+    table = lattice.look(most_frequent(known, frequent)).toArrow()
     index = {w: i for i, w in enumerate(table["word"].to_pylist())}
     values = np.array(table["sums"].to_pylist(), dtype=float).reshape(len(index), 1 + len(classes))
     share = [math.log(texts[k] / n_ends) if n_ends else 0.0 for k in classes]
@@ -289,7 +287,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     key = text_key(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("doc_id").isNull().cast("string"), "text"))
     mixed = written(first_sums(docs.select(key.alias("key"), "text"), index, values), "scored")
     rare = mixed.where(F.col("word").isNotNull()).select("key", "word", "tf")
-    distinct = rare.select("word").distinct().join(totals, "word", "left").withColumn("arcs", F.lit(None).cast("array<double>"))
+    distinct = rare.select("word").distinct().join(known, "word", "left")
     looked = lattice.look(distinct)
     columns = range(1 + len(classes))
     per_word = rare.join(looked, "word").select("key", F.lit(0).cast("long").alias("n_words"), F.when(F.col("known"), F.col("tf")).otherwise(0).alias("n_known"), *[(F.col("tf") * F.col("sums")[i]).alias(f"s{i}") for i in columns], F.lit(0).alias("copies"))
@@ -322,8 +320,9 @@ class Lattice:
 
             def run(cols):
                 logs = pieces.log_probability([w.decode() for w in cols["word"]], own.scores) + np.array(own.rest)
-                if cols["arcs"] and cols["arcs"][0]:
-                    logs = np.log(np.array(cols["arcs"]) + np.exp(logs))
+                if at := [i for i, x in enumerate(cols["arcs"]) if x]:
+                    with np.errstate(divide="ignore"):  # a class without the word has no arc: its spelling's log stays
+                        logs[at] = np.logaddexp(np.log(np.array([cols["arcs"][i] for i in at])), logs[at])
                 known = [c is not None for c in cols["c"]]
                 base = np.log10(np.array([c or 0 for c in cols["c"]]) + 0.5) - own.floor
                 return {"word": cols["word"], "known": known, "sums": np.concatenate([base[:, None], logs], axis=1).tolist()}

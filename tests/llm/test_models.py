@@ -94,6 +94,15 @@ def test_score_query(spark):
     assert len(untrained) == len(texts) and all(x.train_tokens == 0 and x.n_known == 0 and math.isfinite(x.score) for x in untrained)
 
 
+def test_words_that_do_not_travel_have_arcs_too(spark):
+    r = random.Random(5)
+    stems = ["".join(r.choice("abcdeé") for _ in range(4)) for _ in range(60)]
+    texts = [(i, " ".join(r.choice(stems) for _ in range(r.randrange(40))), "x" if i % 2 else "y") for i in range(200)] + [(900, "z" * 300, "x"), (901, "unseen once", "y")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, class string").withColumn("held_out", fold() == 1)
+    wide, narrow, none = ({x.doc_id: x.score for x in lattice.score(docs, MODEL, frequent=n).collect()} for n in (300_000, 20, 0))
+    assert narrow == pytest.approx(wide, rel=1e-9) and none == pytest.approx(wide, rel=1e-9)
+
+
 def test_probabilities_of_all_short_words_stay_below_one(pieces):
     scores = pieces.start[:, None]
     words = [a + b for a in ["", *"abcdefghijklmnopqrstuvwxyz"] for b in "abcdefghijklmnopqrstuvwxyz"]
