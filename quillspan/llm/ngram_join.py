@@ -3,16 +3,20 @@
 1. Each text's set of n-grams is hashed and reduced to a signature; texts of one
    set are one vertex from here on, so copies are never expanded.
 2. The number of bands and of rows in each follow from the recall wanted at the
-   threshold.  Vertices meet on band hashes.  In a bucket, signatures are compared
-   in blocks, and only a spanning forest of the pairs that may be similar leaves
-   it: fewer rows than members, however large the bucket.
-3. Forests of all buckets give groups of vertices that may be linked.  In a group,
-   in blocks again, every pair is verified on the full n-gram sets.  What leaves is
-   each vertex's number of links and a spanning forest of the verified links.
+   threshold.  Vertices meet on band hashes.  In a bucket, signatures are compared,
+   and a spanning forest of the pairs that may be similar leaves it.
+3. Forests of all buckets give groups of vertices that may be linked.  In a group
+   every pair is verified on the full n-gram sets.  What leaves is each vertex's
+   number of links and a spanning forest of the verified links.
 4. These forests' components are the classes.
 
-Large buckets and groups are cut into blocks, and each pair of blocks is a row key
-of its own: no task takes a whole group, and no pair of rows is written.
+Buckets and groups of up to BLOCK members are one block.  Larger ones are cut into
+blocks, and each pair of blocks is a row key of its own, so no task takes a whole
+group and no pair of rows is written.  A block by itself gives less edges than it
+has members; two blocks give one edge for each two of their components that are
+linked, so a group of one component gives fewer edges than members and pairs of
+blocks together.  An exact number of links takes a comparison of all pairs of a
+group: its n-gram sets, made once, are read by each of its n / BLOCK blocks.
 
 Defined results: words are what white space parts, in lower case; a text of fewer
 words than n has its words as its only n-gram; a null text counts as the empty
@@ -32,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, claim, if_small, map_batches, text_key, text_of, written
 
-#: Members of a block; two blocks are compared at once.
-BLOCK = 400
+#: Members of a block, and bytes of its n-gram sets; two blocks are compared at once.
+BLOCK, BLOCK_BYTES = 1000, 16_000_000
 #: Signatures that agree in a share lower than the threshold by this much don't lead to a pair of sets.
 SLACK = 0.2
 COLUMNS = 4096
@@ -138,8 +142,9 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return map_batches(docs, make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, set_key binary, text_key binary, sig binary, bands array<long>")
 
 
-def block_count(n: Column) -> Column:
-    return F.ceil(n / BLOCK).cast("int").alias("blocks")
+def block_count(n: Column, size: Column | None = None) -> Column:
+    blocks = F.ceil(n / BLOCK)
+    return (blocks if size is None else F.greatest(blocks, F.ceil(size / BLOCK_BYTES))).cast("int").alias("blocks")
 
 
 def in_block_pairs(members: DataFrame) -> DataFrame:
@@ -185,26 +190,57 @@ def by_group(rows: DataFrame, key: list[str], value: str, make, schema: str) ->
     return rows.mapInArrow(run, kind)
 
 
-def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between members left and right of a matrix."""
-    parent: dict[int, int] = {}
-
-    def top(x: int) -> int:
+def spanning(n: int, near) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(edges of a spanning forest of n members' links, each member's tree); near(i, others) tells which others are linked with i."""
+    out, tree, left = [], np.zeros(n, dtype=np.int64), np.arange(n)
+    while left.size:
+        queue, left = [int(left[0])], left[1:]
+        tree[queue[0]] = root = queue[0]
+        for i in queue:
+            if not left.size:
+                break
+            hit = near(i, left)
+            found = left[hit].tolist()
+            tree[found] = root
+            out += [(i, j) for j in found]
+            queue += found
+            left = left[~hit]
+    return out, tree
+
+
+def bridges(left_tree: np.ndarray, right_tree: np.ndarray, near) -> list[tuple[int, int]]:
+    """An edge (left member, right member) for each two trees that links between them connect, without rings; near as above."""
+    parent: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def top(x):
         while (p := parent.setdefault(x, x)) != x:
             parent[x] = parent[p]
             x = p
         return x
 
     out = []
-    for i, row in enumerate(linked):
-        for j in np.flatnonzero(row):
-            a, b = top(int(left[i])), top(int(right[j]))
+    trees = np.unique(right_tree)
+    for i, own in enumerate(left_tree.tolist()):
+        apart = [t for t in trees.tolist() if top((1, t)) != top((0, own))]
+        if not apart:
+            continue
+        others = np.flatnonzero(np.isin(right_tree, apart))
+        for j in others[near(i, others)].tolist():
+            a, b = top((0, own)), top((1, int(right_tree[j])))
             if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((int(left[i]), int(right[j])))
+                parent[a] = b
+                out.append((i, j))
     return out
 
 
+def forest(left: np.ndarray, right: np.ndarray, same: bool, near, near_left, near_right) -> list[tuple[int, int]]:
+    """Edges between members of one block, or of two whose own forests another key gives; near of left and right, and within each."""
+    if same:
+        return [(int(left[a]), int(left[b])) for a, b in spanning(len(left), near)[0]]
+    trees = spanning(len(left), near_left)[1], spanning(len(right), near_right)[1]
+    return [(int(left[a]), int(right[b])) for a, b in bridges(*trees, near)]
+
+
 def sides(side: list[int], same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of the members of either block; a block with itself is compared as both."""
     left, right = np.flatnonzero(np.array(side) == 0), np.flatnonzero(np.array(side) == 1)
@@ -219,17 +255,31 @@ def compare_signatures(least: float):
         if not left.size or not right.size:
             return []
         sig = np.stack([np.frombuffer(s, dtype=np.uint32) for s in sigs])
-        agree = np.zeros((len(left), len(right)), dtype=np.uint16)
-        for k in range(sig.shape[1]):
-            agree += sig[left, k][:, None] == sig[right, k][None, :]
-        linked = agree >= least * sig.shape[1]
-        if same:
-            linked = np.triu(linked, 1)
-        return [(members[a], members[b]) for a, b in forest(linked, left, right)]
+        enough = least * sig.shape[1]
+
+        def near(a: np.ndarray, b: np.ndarray):
+            return lambda i, others: (b[others] == a[i]).sum(axis=1) >= enough
+
+        a, b = sig[left], sig[right]
+        return [(members[i], members[j]) for i, j in forest(left, right, same, near(a, b), near(a, a), near(b, b))]
 
     return run
 
 
+class Shared:
+    """Sets of one block, to tell which of them have the threshold's similarity with one of them."""
+
+    def __init__(self, sets: list[np.ndarray], threshold: float):
+        self.sets, self.threshold, self.size = sets, threshold, np.array([len(s) for s in sets])
+        self.flat, self.at = np.concatenate(sets), np.concatenate([[0], np.cumsum(self.size)[:-1]])
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        own = self.sets[i]
+        place = np.minimum(np.searchsorted(own, self.flat), len(own) - 1)
+        common = np.add.reduceat((own[place] == self.flat).astype(np.int64), self.at)[others]
+        return common >= self.threshold * (len(own) + self.size[others] - common) - 1e-6
+
+
 def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> np.ndarray:
     """Which pairs of a left and a right set have the threshold's similarity, by matrix products over shared n-grams."""
     size = np.array([len(s) for s in sets])
@@ -260,28 +310,42 @@ def jaccard_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, s
     return linked
 
 
-def verify(threshold: float, n: int):
+def verify(threshold: float):
     """In a group: each vertex's number of linked texts as (v, null, links), and a forest of the links as (v, w, 0)."""
 
-    own_words()
-
-    def run(members, texts, side, weights, same):
+    def run(members, packed, side, weights, same):
         left, right = sides(side, same)
         if not left.size or not right.size:
             return []
-        linked = jaccard_links([ngrams(t, n) for t in texts], left, right, same, threshold)
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in packed]
+        linked = jaccard_links(sets, left, right, same, threshold)
         w = np.array(weights)
         counts = np.zeros(len(members), dtype=np.int64)
         counts[left] += linked @ w[right]
         if not same:
             counts[right] += linked.T @ w[left]
         out = [(members[i], None, int(c)) for i, c in enumerate(counts) if c]
-        pairs = forest(np.triu(linked, 1) if same else linked, left, right)
-        return out + [(members[a], members[b], 0) for a, b in pairs]
+        a, b = Shared([sets[i] for i in left], threshold), Shared([sets[i] for i in right], threshold)
+        pairs = forest(left, right, same, lambda i, others: linked[i, others], a.near, b.near)
+        return out + [(members[i], members[j], 0) for i, j in pairs]
 
     return run
 
 
+def with_sets(members: DataFrame, n: int) -> DataFrame:
+    """members (v, root, weight, text) with the n-gram set in place of the text: made once, however many blocks read it."""
+
+    def make():
+        own_words()
+
+        def run(cols):
+            return {c: cols[c] for c in ("v", "root", "weight")} | {"grams": [ngrams(t, n).tobytes() for t in cols["text"]]}
+
+        return run
+
+    return map_batches(members.select("v", "root", "weight", "text"), make, "v binary, root binary, weight long, grams binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root): the least vertex that each vertex of the edges (v, w) is connected with.
 
@@ -317,12 +381,14 @@ def similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float =
     members = placed.join(written(met, "buckets"), ["band", "hash"]).join(sets.select("v", "sig", F.lit(0).alias("weight")), "v")
     pairs = by_group(in_block_pairs(members), ["band", "hash"], "sig", lambda: compare_signatures(threshold - SLACK), "v binary, w binary")
     groups = components(pairs)
-    # one text stands for all of its set
-    wanted = sets.join(groups, "v").select("v", "root", "weight", "text_key")
-    texts = docs.select(text_of().alias("text")).withColumn("text_key", text_key(F.col("text"))).groupBy("text_key").agg(F.first("text").alias("text"))
-    sizes = written(groups.groupBy("root").agg(block_count(F.count("*"))), "group-sizes")
-    members = written(wanted.join(texts, "text_key").drop("text_key"), "members").join(if_small(sizes), "root")
-    found = written(by_group(in_block_pairs(members), ["root"], "text", lambda: verify(threshold, n), "v binary, w binary, links long"), "links")
+    # one text stands for all of its set; texts without a partner stay where they are
+    wanted = written(sets.join(groups, "v").select("v", "root", "weight", "text_key"), "wanted")
+    texts = docs.select(text_of().alias("text")).withColumn("text_key", text_key(F.col("text"))).join(if_small(wanted), "text_key")
+    texts = texts.groupBy("v", "root", "weight").agg(F.first("text").alias("text"))
+    members = written(with_sets(texts, n), "members")
+    sizes = written(members.groupBy("root").agg(block_count(F.count("*"), F.sum(F.octet_length("grams")))), "group-sizes")
+    members = members.join(if_small(sizes), "root")
+    found = written(by_group(in_block_pairs(members), ["root"], "grams", lambda: verify(threshold), "v binary, w binary, links long"), "links")
     links = found.where(F.col("w").isNull()).groupBy("v").agg(F.sum("links").alias("n_links"))
     roots = components(found.where(F.col("w").isNotNull()).select("v", "w"))
     classes = sets.select("v", F.col("weight").alias("n_copies")).join(links, "v", "left").join(roots, "v", "left")

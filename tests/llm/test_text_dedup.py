@@ -287,3 +287,44 @@ def found_runs(text):
     h, ends = sd.sentences(text)
     _, _, a, b, _ = sd.runs(h, ends)
     return zip(a.tolist(), b.tolist())
+
+
+def test_edges_of_a_large_group_grow_with_its_members(spark):
+    """4,000 near copies of one text, over several blocks: edges stay at a small multiple of members, links are exact."""
+    r = random.Random(21)
+    base = words(r, 120)
+    rows = []
+    for i in range(4000):
+        w = list(base)
+        w[r.randrange(len(w))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made = []
+    plain = ngram_join.components
+    ngram_join.components = lambda edges: made.append(edges.count()) or plain(edges)
+    try:
+        got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.classify(docs).collect()}
+    finally:
+        ngram_join.components = plain
+    bands = ngram_join.bands_for(0.8)[0]
+    assert made[0] <= bands * len(rows) and made[1] < len(rows) + 100
+    sets = [ngram_join.ngrams(t, 5) for _, t in rows]
+    for i in range(0, 4000, 97):
+        links = sum(len(np.intersect1d(sets[i], s, assume_unique=True)) >= 0.8 / 1.8 * (len(sets[i]) + len(s)) - 1e-9 for s in sets) - 1
+        assert got[i] == (0, links)
+
+
+def test_pairs_of_blocks_give_an_edge_for_two_trees():
+    left, right = np.array([0, 0, 2, 3]), np.array([0, 1, 1])
+    links = {(1, 0), (1, 2), (0, 1), (2, 1), (2, 2)}
+    got = ngram_join.bridges(left, right, lambda i, others: np.array([(i, int(j)) in links for j in others], dtype=bool))
+    assert len(got) == 3 and set(got) <= links
+
+
+def test_very_long_texts_make_blocks_of_few(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 200_000)
+    r = random.Random(22)
+    long = words(r, 60_000, 10**6)
+    rows = [(i, " ".join([*long, f"end{i}"])) for i in range(4)] + [(9, "short one")]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (0, 3), 9: (9, 0)}
