@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,11 +21,18 @@ def tokenize(text: Column) -> Column:
     return F.filter(F.split(x, " "), lambda t: t != "")
 
 
-def clean(text: Column, lemma: Column | None = None) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) where value is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def clean(text: Column, lemma: Column | None = None, normalise: Callable[[Column], Column] | None = None) -> Column:
     """Words without stop words, before and after lemmas are taken, and without single characters.
 
     ``lemma`` is a map from a word to its lemma; without one words stay as they are.
+    ``normalise`` is applied to the text before it is split.
     """
+    text = text if normalise is None else normalise(text)
     tokens = F.filter(tokenize(text), lambda t: ~t.isin(lx.STOP_WORDS))
     if lemma is not None:
         tokens = F.transform(tokens, lambda t: F.coalesce(F.element_at(lemma, t), t))
@@ -42,12 +51,17 @@ def digits_to_words(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.element_at(names, t), t))
 
 
+def letters_for(word: Column) -> Column:
+    """The characters that may be inserted into the word."""
+    return F.when(language(word) == "en", F.split(F.lit(lx.ALPHABETS["en"]), "")).otherwise(F.split(F.lit(lx.ALPHABETS["fa"]), ""))
+
+
 def edits(word: Column) -> Column:
     """Distinct strings one edit away: deletions, transpositions, neighbouring keys, insertions of the word's alphabet."""
     n = F.length(word)
     places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     near = F.create_map(*[x for c, adj in lx.NEIGHBOURS.items() for x in (F.lit(c), F.array(*map(F.lit, adj)))])
-    letters = F.when(language(word) == "en", F.split(F.lit(lx.ALPHABETS["en"]), "")).otherwise(F.split(F.lit(lx.ALPHABETS["fa"]), ""))
+    letters = letters_for(word)
     left = lambda i: F.substring(word, F.lit(1), i - 1)
     right = lambda i: F.substring(word, i, n)
     inside = F.filter(places, lambda i: i <= n)
@@ -76,6 +90,24 @@ def layout_swap(word: Column) -> Column:
     return out
 
 
+def densest(parts: Column, lengths: Column, window: int) -> Column:
+    """Where the first of the most matches within ``window`` characters starts; null without matches.
+
+    ``parts`` are the strings between matches, ``lengths`` those of the matches.  One
+    pass: the state has the place, and the starts that still share a window with it.
+    """
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("near"), F.lit(0).alias("most"), F.lit(None).cast("int").alias("first"))
+
+    def step(s, x):
+        start = s["at"] + F.length(x["part"])
+        return let(F.concat(F.filter(s["near"], lambda y: y > start - window), F.array(start)), lambda near: F.struct(
+            (start + x["size"]).alias("at"), near.alias("near"), F.greatest(s["most"], F.size(near)).alias("most"), F.when(F.size(near) > s["most"], near[0]).otherwise(s["first"]).alias("first")
+        ))
+
+    pairs = F.zip_with(F.slice(parts, 1, F.size(lengths)), lengths, lambda part, size: F.struct(part.alias("part"), size.alias("size")))
+    return F.aggregate(pairs, state, step, lambda s: s["first"])
+
+
 def snippet(body: Column, query: Column, p: lx.Parameters = lx.Parameters(), regex: bool = False) -> Column:
     """The part of the body where the query's matches are densest, matches marked; its start where there are none.
 
@@ -83,17 +115,22 @@ def snippet(body: Column, query: Column, p: lx.Parameters = lx.Parameters(), reg
     """
     pattern = query if regex else F.concat(F.lit("\\Q"), F.replace(query, F.lit("\\E"), F.lit("")), F.lit("\\E"))
     pattern = F.when(F.length(query) > 0, pattern).otherwise(F.lit("(?!)"))
-    found = F.regexp_extract_all(body, pattern, F.lit(0))
-    parts = F.split(body, pattern)
-    length_of = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    starts = F.transform(F.filter(F.sequence(F.lit(0), F.size(found)), lambda i: i < F.size(found)), lambda i: length_of(parts, i + 1) + length_of(found, i))
-    near = F.transform(starts, lambda s: F.size(F.filter(starts, lambda x: (x >= s) & (x < s + p.window))))
-    start = F.element_at(starts, F.array_position(near, F.array_max(near)).cast("int"))
-    before = F.substring(body, F.lit(1), F.greatest(start - p.lead, F.lit(0)))
-    until = F.substring(body, F.lit(1), F.least(F.length(body), start + p.window + p.lead))
     space = lambda x: F.instr(F.reverse(x), " ")
-    begin = F.when(space(before) == 0, F.lit(0)).otherwise(F.length(before) - space(before) + 1)
-    end = F.when(space(until) == 0, F.length(body) - 1).otherwise(F.length(until) - space(until))
-    cut = F.substring(body, begin + 1, F.greatest(end - begin, F.lit(0)))
-    marked = F.concat(F.lit("..."), F.replace(cut, query, F.concat(F.lit("<b>"), query, F.lit("</b>"))), F.lit("..."))
-    return F.when(F.size(starts) > 0, marked).otherwise(F.concat(F.substring(body, F.lit(1), F.lit(p.fallback)), F.lit("...")))
+
+    def cut(start: Column, before: Column, until: Column) -> Column:
+        begin = F.when(space(before) == 0, F.lit(0)).otherwise(F.length(before) - space(before) + 1)
+        end = F.when(space(until) == 0, F.length(body) - 1).otherwise(F.length(until) - space(until))
+        part = let(begin, lambda b: F.substring(body, b + 1, F.greatest(end - b, F.lit(0))))
+        return F.concat(F.lit("..."), F.replace(part, query, F.concat(F.lit("<b>"), query, F.lit("</b>"))), F.lit("..."))
+
+    def around(start: Column) -> Column:
+        before = F.substring(body, F.lit(1), F.greatest(start - p.lead, F.lit(0)))
+        until = F.substring(body, F.lit(1), F.least(F.length(body), start + p.window + p.lead))
+        marked = let(before, lambda b: let(until, lambda u: cut(start, b, u)))
+        return F.when(start.isNotNull(), marked).otherwise(F.concat(F.substring(body, F.lit(1), F.lit(p.fallback)), F.lit("...")))
+
+    def found(parts: Column) -> Column:
+        sizes = F.transform(F.regexp_extract_all(body, pattern, F.lit(0)), F.length) if regex else F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda _: F.length(query))
+        return let(densest(parts, sizes, p.window), around)
+
+    return let(F.split(body, pattern), found)

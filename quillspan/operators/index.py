@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import bigrams
 from ..functions.lexicon import Parameters
+from ..sources.corpus import lookup
 
 P = Parameters()
 
@@ -26,13 +27,13 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, p: Parameters = P) -> DataFrame:
-    """(term, doc_id, tf, weight, relative, augmented, logarithm)."""
+    """(term, doc_id, tf, weight, relative, augmented, logarithm, dl); dl is the document's length in words."""
     by_doc = Window.partitionBy("doc_id")
     counts = tokens(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("in_title").alias("it"), F.max("in_body").alias("ib"))
     counts = counts.withColumns({"max_tf": F.max("tf").over(by_doc), "size": F.sum("tf").over(by_doc)})
     return counts.select(
         "term", "doc_id", "tf", (F.col("it") * p.title_weight + F.col("ib") * p.body_weight).alias("weight"),
-        (F.col("tf") / F.col("size")).alias("relative"), (0.5 + 0.5 * F.col("tf") / F.col("max_tf")).alias("augmented"), (1 + F.log("tf")).alias("logarithm"),
+        (F.col("tf") / F.col("size")).alias("relative"), (0.5 + 0.5 * F.col("tf") / F.col("max_tf")).alias("augmented"), (1 + F.log("tf")).alias("logarithm"), F.col("size").alias("dl"),
     )
 
 
@@ -58,6 +59,12 @@ def major(all_terms: DataFrame, p: Parameters = P) -> DataFrame:
     return all_terms.where(F.col("cf") > p.minor)
 
 
+def surviving(own: DataFrame, all_terms: DataFrame, p: Parameters = P) -> DataFrame:
+    """One row: the words of terms that stay, and the documents that have any of them."""
+    stay = own.join(major(all_terms, p).select("term"), "term", "left_semi")
+    return stay.agg(F.sum("tf").alias("total_terms"), F.countDistinct("doc_id").alias("docs_with_terms"))
+
+
 def minor(all_terms: DataFrame, p: Parameters = P) -> DataFrame:
     return all_terms.where(F.col("cf") <= p.minor)
 
@@ -80,6 +87,6 @@ def token_postings(own: DataFrame, token: str, count: int | None = None, by: str
 
 def matching_docs(queries: DataFrame, own: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(qid, hits): documents with any of a query's terms, for queries (qid, tokens)."""
-    words = queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary.select("term"), "term", "left_semi")
+    words = lookup(queries.select("qid", F.explode(F.array_distinct("tokens")).alias("term")).join(vocabulary.select("term"), "term", "left_semi"), "terms")
     hits = own.select("term", "doc_id").join(words, "term").groupBy("qid").agg(F.countDistinct("doc_id").alias("hits"))
     return queries.select("qid").join(hits, "qid", "left").select("qid", F.coalesce("hits", F.lit(0)).alias("hits"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import END, Parameters
+from ..sources.corpus import lookup
 
 P = Parameters()
 
@@ -34,33 +35,50 @@ def unigram_total(words: DataFrame) -> DataFrame:
     return words.agg((F.sum("c") - 1).alias("total"), F.count("*").alias("vocabulary"))
 
 
-def unigram_probability(words: DataFrame) -> DataFrame:
-    return words.crossJoin(F.broadcast(unigram_total(words))).select("word", (F.col("c") / F.col("total")).alias("p"))
+def unigram_probability(words: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(word, p) of all words, or of those ``asked`` (word)."""
+    own = words if asked is None else words.join(asked.select("word").distinct(), "word", "left_semi")
+    return own.crossJoin(F.broadcast(unigram_total(words))).select("word", (F.col("c") / F.col("total")).alias("p"))  # one row
+
+
+def log_of(p: Column) -> Column:
+    """Natural log; that of 0 is minus infinity."""
+    return F.when(p > 0, F.log(p)).otherwise(F.lit(float("-inf")))
+
+
+def follows(rows: DataFrame, words: DataFrame, pairs: DataFrame, smoothed: bool = True, p: Parameters = P) -> DataFrame:
+    """rows (prev, word) with log_p of the word after prev.
+
+    Only the asked words' pairs are summed up: where rows are few they travel to the models.
+    """
+    rows = lookup(rows, "steps")
+    pairs = pairs.join(rows.select("prev").distinct(), "prev", "left_semi")
+    rows = rows.join(pairs, ["prev", "word"], "left").join(context_totals(pairs).select("prev", "s"), "prev", "left")
+    value = F.coalesce(F.try_divide(F.col("c"), F.col("s")), F.lit(0.0))
+    if smoothed:
+        rows = rows.join(unigram_probability(words, rows), "word", "left")
+        value = p.bigram_share * value + (1 - p.bigram_share) * F.coalesce("p", F.lit(0.0))
+    return rows.withColumn("log_p", log_of(value))
 
 
 def sequence_probability(sequences: DataFrame, words: DataFrame, pairs: DataFrame, smoothed: bool = True, p: Parameters = P) -> DataFrame:
-    """(key, p) of sequences (key, tokens): the product over pairs; of one word its own probability; of none 0.
+    """(key, p, log_p) of sequences (key, tokens): the product over pairs; of one word its own probability; of none 0.
 
-    The first word's own probability is no factor of a longer sequence.
+    The first word's own probability is no factor of a longer sequence.  Logs are
+    summed, so that long sequences keep a log_p where p is rounded to 0.
     """
     sequences = sequences.select("key", "tokens")
     single = sequences.where(F.size("tokens") == 1).select("key", F.element_at("tokens", 1).alias("word"))
-    none = sequences.where(F.size("tokens") == 0).select("key", F.lit(0.0).alias("p"))
-    own = unigram_probability(words)
+    none = sequences.where(F.size("tokens") == 0).select("key", F.lit(float("-inf")).alias("log_p"))
     n = F.size("tokens") - 1
     steps = F.zip_with(F.slice("tokens", 1, n), F.slice("tokens", 2, n), lambda a, b: F.struct(a.alias("prev"), b.alias("word")))
     rows = sequences.where(F.size("tokens") > 1).select("key", F.inline(steps))
-    rows = rows.join(pairs, ["prev", "word"], "left").join(context_totals(pairs).select("prev", "s"), "prev", "left")
-    follows = F.coalesce(F.try_divide(F.col("c"), F.col("s")), F.lit(0.0))
-    if smoothed:
-        rows = rows.join(own, "word", "left")
-        follows = p.bigram_share * follows + (1 - p.bigram_share) * F.coalesce("p", F.lit(0.0))
-    many = rows.groupBy("key").agg(F.product(follows).alias("p"))
+    many = follows(rows, words, pairs, smoothed, p).groupBy("key").agg(F.sum("log_p").alias("log_p"))
     if smoothed:
-        one = single.join(own, "word", "left").select("key", F.coalesce("p", F.lit(0.0)).alias("p"))
+        one = single.join(unigram_probability(words, single), "word", "left").select("key", log_of(F.coalesce("p", F.lit(0.0))).alias("log_p"))
     else:
-        one = single.select("key", F.lit(0.0).alias("p"))
-    return many.unionByName(one).unionByName(none)
+        one = single.select("key", F.lit(float("-inf")).alias("log_p"))
+    return many.unionByName(one).unionByName(none).select("key", F.exp("log_p").alias("p"), "log_p")
 
 
 def known(words: DataFrame, model: DataFrame, column: str = "word") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import Parameters
+from ..sources.corpus import lookup
 
 TF = {"r": "relative", "a": "augmented", "l": "logarithm"}
 IDF = {"n": "idf", "p": "prob_idf"}
@@ -40,27 +41,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def scores(queries: DataFrame, ranker: Ranker, postings: DataFrame, terms: DataFrame, docs: DataFrame, stats: DataFrame) -> DataFrame:
-    """(qid, doc_id, score), summed over a query's words."""
-    rows = postings.join(query_terms(queries).join(terms.select("term", "idf", "prob_idf"), "term"), "term")
+def scores(queries: DataFrame, ranker: Ranker, postings: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(qid, doc_id, score), summed over a query's words.
+
+    The batch's words go to the postings where they are few; beyond that the join
+    is one that Spark may split at a word of many postings.
+    """
+    words = lookup(query_terms(queries).join(terms.select("term", "idf", "prob_idf"), "term"), "query-terms")
+    rows = postings.join(words, "term")
     if isinstance(ranker, Bm25):
-        rows = rows.join(docs.select("doc_id", (F.col("title_len") + F.col("body_len")).alias("dl")), "doc_id").crossJoin(F.broadcast(stats.select("avdl")))
+        rows = rows.crossJoin(F.broadcast(stats.select("avdl")))  # one row
     return rows.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qtf") * ranker.contribution()), 6).alias("score")).where(F.col("score").isNotNull())
 
 
 def cosine(queries: DataFrame, postings: DataFrame, terms: DataFrame, tf_type: str = "r") -> DataFrame:
     """(qid, doc_id, score): the angle between a document's weights over the vocabulary and the query's idf."""
-    return cosine_of(queries, doc_weights(postings, terms, tf_type), terms)
+    return cosine_of(queries, doc_units(doc_weights(postings, terms, tf_type)), terms)
 
 
-def cosine_of(queries: DataFrame, weights: DataFrame, terms: DataFrame) -> DataFrame:
-    """The same from documents' vectors (doc_id, term, x), as they are stored."""
-    norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    words = query_terms(queries).join(terms.select("term", "idf"), "term").select("qid", "term", F.col("idf").alias("y"))
+def cosine_of(queries: DataFrame, units: DataFrame, terms: DataFrame) -> DataFrame:
+    """The same from documents' vectors of length 1 (doc_id, term, u), as they are stored: one join with the batch's words."""
+    words = lookup(query_terms(queries).join(terms.select("term", "idf"), "term").select("qid", "term", F.col("idf").alias("y")), "query-terms")
     sizes = words.groupBy("qid").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("size"))
-    dots = weights.join(words, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(norms, "doc_id").join(sizes, "qid")
-    return scored.select("qid", "doc_id", F.round(F.try_divide(F.col("dot"), F.col("norm") * F.col("size")), 6).alias("score"))
+    dots = units.join(words, "term").groupBy("qid", "doc_id").agg(F.sum(F.col("u") * F.col("y")).alias("dot"))
+    return dots.join(sizes, "qid").select("qid", "doc_id", F.round(F.try_divide(F.col("dot"), F.col("size")), 6).alias("score"))
 
 
 def top(scored: DataFrame, count: int = P.results) -> DataFrame:
@@ -73,3 +77,9 @@ def doc_weights(postings: DataFrame, terms: DataFrame, tf_type: str = "r") -> Da
     """(doc_id, term, x): documents' vectors, as the cosine uses them."""
     x = F.col(TF[tf_type]) * F.col("idf") * F.col("weight")
     return postings.join(terms.select("term", "idf"), "term").select("doc_id", "term", x.alias("x"))
+
+
+def doc_units(weights: DataFrame) -> DataFrame:
+    """(doc_id, term, u): vectors (doc_id, term, x) brought to length 1."""
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
+    return weights.select("doc_id", "term", F.try_divide(F.col("x"), norm).alias("u"))

@@ -1,81 +1,130 @@
 """Spelling candidates near a word, corrections of queries, suggestions."""
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from ..functions import lexicon as lx
-from ..functions.analysis import edits, layout_swap
-from .language_model import sequence_probability, unigram_probability
+from ..functions.analysis import edits, layout_swap, letters_for
+from ..sources.corpus import kept, lookup
+from .language_model import follows, log_of, sequence_probability, unigram_probability
 
 P = lx.Parameters()
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """(word, candidate): strings at one edit or two, the other layout's, and the word; two edits are exploded, never held.
+def cuts(word: Column) -> Column:
+    """(rest, pos, char) for each place of the word: what is left without its character."""
+    n = F.length(word)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: i <= n)
+    return F.transform(places, lambda i: F.struct(F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)).alias("rest"), i.alias("pos"), F.substring(word, i, F.lit(1)).alias("char")))
 
-    The words are those of queries: few, whatever the corpus.
+
+def deletions(vocabulary: DataFrame) -> DataFrame:
+    """(rest, pos, char, term): each term without one of its characters; an index of it is stored with the others."""
+    return vocabulary.select("term", F.inline(cuts(F.col("term")))).select("rest", "pos", "char", "term")
+
+
+def near_words(words: DataFrame, vocabulary: DataFrame, rests: DataFrame | None = None) -> DataFrame:
+    """(word, candidate): terms of the vocabulary at one edit or two, in the other layout, or the word itself.
+
+    Strings at one edit are made.  A term at one more edit shares with such a string
+    what is left of either without one character (``rests`` has that of the terms):
+    of both for another key or a transposition, of one for an insertion or a
+    deletion.  So second edits are joined, not made.
     """
     words = words.select("word").distinct()
-    first = words.select("word", F.explode(edits(F.col("word"))).alias("near"))
-    second = first.select("word", F.explode(edits(F.col("near"))).alias("candidate"))
+    first = kept(words.select("word", F.explode(edits(F.col("word"))).alias("near")), "edits")
+    rests = deletions(vocabulary) if rests is None else rests
+    own = first.select("word", "near", F.inline(cuts(F.col("near"))))
+    theirs = rests.select("rest", F.col("pos").alias("at"), F.col("char").alias("new"), "term")
+    keys = F.create_map(*[x for c, adj in lx.NEIGHBOURS.items() for x in (F.lit(c), F.array(*map(F.lit, adj)))])
+    key = (F.col("pos") == F.col("at")) & F.array_contains(F.element_at(keys, F.col("char")), F.col("new"))
+    swapped = (F.abs(F.col("pos") - F.col("at")) == 1) & (F.col("char") == F.col("new"))
+    changed = own.join(theirs, "rest").where(key | swapped).select("word", F.col("term").alias("candidate"))
+    grown = first.join(theirs.withColumnRenamed("rest", "near"), "near").where(F.array_contains(letters_for(F.col("near")), F.col("new"))).select("word", F.col("term").alias("candidate"))
     once = first.select("word", F.col("near").alias("candidate"))
-    swap = words.select("word", layout_swap(F.col("word")).alias("candidate")).where(F.col("candidate").isNotNull())
+    less = own.select("word", F.col("rest").alias("candidate"))
+    layout = words.select("word", layout_swap(F.col("word")).alias("candidate")).where(F.col("candidate").isNotNull())
     same = words.select("word", F.col("word").alias("candidate"))
-    return second.unionByName(once).unionByName(swap).unionByName(same)
+    made = once.unionByName(less).unionByName(layout).unionByName(same)
+    found = made.join(vocabulary.select(F.col("term").alias("candidate")), "candidate", "left_semi").select("word", "candidate")
+    return found.unionByName(changed).unionByName(grown).distinct()
 
 
-def candidates(words: DataFrame, vocabulary: DataFrame, model: DataFrame, p: lx.Parameters = P) -> DataFrame:
+def candidates(words: DataFrame, vocabulary: DataFrame, model: DataFrame, p: lx.Parameters = P, rests: DataFrame | None = None) -> DataFrame:
     """(word, candidate, p, nth): a word's likeliest neighbours in the vocabulary."""
-    found = near_words(words).join(vocabulary.select(F.col("term").alias("candidate")), "candidate", "left_semi").distinct()
-    own = unigram_probability(model).withColumnRenamed("word", "candidate")
+    found = lookup(near_words(words, vocabulary, rests), "near")
+    own = unigram_probability(model, found.select(F.col("candidate").alias("word"))).withColumnRenamed("word", "candidate")
     ranked = found.join(own, "candidate", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
     w = Window.partitionBy("word").orderBy(F.desc("p"), "candidate")
     return ranked.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= p.candidates).select("word", "candidate", "p", "nth")
 
 
-def readings(queries: DataFrame, found: DataFrame) -> DataFrame:
-    """(qid, tokens) of every choice of a candidate for each word; none where a word has none.
+def best_paths(choices: DataFrame, words: DataFrame, pairs: DataFrame, p: lx.Parameters = P) -> DataFrame:
+    """(key, text, log_p): the likeliest sequence of choices (key, n, pos, nth, word), one for each of n places; none where a place has no choice.
 
-    A query of n words has as many readings as candidates to the power of n.
+    Viterbi: of all ways to a choice only the likeliest is kept, of equal ones the
+    least text, so a sequence takes time in proportion to its length.
     """
-    words = queries.select("qid", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "word"))
-    choices = words.join(found, "word").groupBy("qid", "n", "pos").agg(F.sort_array(F.collect_list(F.struct("nth", "candidate"))).alias("xs"))
-    lists = choices.groupBy("qid", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "xs"))).alias("lists")).where(F.size("lists") == F.col("n"))
-    empty = F.array(F.array().cast("array<string>"))
-    grown = F.aggregate("lists", empty, lambda acc, x: F.flatten(F.transform(acc, lambda sofar: F.transform(x["xs"], lambda c: F.concat(sofar, F.array(c["candidate"]))))))
-    return lists.select("qid", F.explode(grown).alias("tokens"))
-
-
-def correct(queries: DataFrame, vocabulary: DataFrame, words: DataFrame, pairs: DataFrame, p: lx.Parameters = P) -> DataFrame:
-    """(qid, query, text, p): the likeliest reading of each query (qid, query, tokens); the query itself wins ties."""
-    found = candidates(queries.select(F.explode("tokens").alias("word")), vocabulary, words, p)
-    raw = queries.select("qid", F.col("query").alias("text"), "tokens", F.lit(0).alias("kind"))
-    read = readings(queries, found).select("qid", F.array_join("tokens", " ").alias("text"), "tokens", F.lit(1).alias("kind"))
-    every = raw.unionByName(read).withColumn("key", F.struct("qid", "kind", "text"))
-    scored = sequence_probability(every.select("key", "tokens"), words, pairs, p=p).select("key.*", "p")
-    w = Window.partitionBy("qid").orderBy(F.desc("p"), "kind", "text")
+    before = choices.select("key", (F.col("pos") + 1).alias("pos"), F.col("nth").alias("prev_nth"), F.col("word").alias("prev"))
+    steps = follows(choices.join(before, ["key", "pos"]), words, pairs, True, p).select("key", "n", "pos", "prev_nth", "nth", "word", "log_p")
+    alone = choices.where("n = 1").select("word").distinct()
+    own = unigram_probability(words, alone)
+    start = choices.where("pos = 0").join(own, "word", "left")
+    # the first word's own probability is no factor of a longer sequence
+    log_p = F.when(F.col("n") == 1, log_of(F.coalesce("p", F.lit(0.0)))).otherwise(F.lit(0.0))
+    start = start.select("key", "n", "pos", F.lit(0).alias("prev_nth"), "nth", "word", log_p.alias("log_p"))
+    x = F.struct("prev_nth", "nth", "word", "log_p")
+    places = steps.unionByName(start).groupBy("key", "n", "pos").agg(F.sort_array(F.collect_list(x)).alias("xs"))
+    lists = places.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "xs"))).alias("places")).where(F.size("places") == F.col("n"))
+
+    def step(state: Column, place: Column) -> Column:
+        def way(x: Column) -> Column:
+            last = F.get(state, x["prev_nth"] - 1)
+            return F.struct((F.coalesce(last["cost"], F.lit(0.0)) - x["log_p"]).alias("cost"), F.concat_ws(" ", last["text"], x["word"]).alias("text"))
+
+        nths = F.array_distinct(F.transform(place["xs"], lambda x: x["nth"]))
+        return F.transform(nths, lambda j: F.array_min(F.transform(F.filter(place["xs"], lambda x: x["nth"] == j), way)))
+
+    best = F.aggregate("places", F.array().cast("array<struct<cost: double, text: string>>"), step, F.array_min)
+    return lists.select("key", best.alias("best")).select("key", "best.text", (-F.col("best.cost")).alias("log_p"))
+
+
+def correct(queries: DataFrame, vocabulary: DataFrame, words: DataFrame, pairs: DataFrame, p: lx.Parameters = P, rests: DataFrame | None = None) -> DataFrame:
+    """(qid, query, text, p, log_p): the likeliest reading of each query (qid, query, tokens); the query itself wins ties."""
+    tokens = queries.select("qid", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "word"))
+    found = candidates(tokens.select("word"), vocabulary, words, p, rests)
+    raw = tokens.select(F.struct("qid", F.lit(0).alias("kind")).alias("key"), "n", "pos", F.lit(1).alias("nth"), "word")
+    read = tokens.join(found.select("word", "candidate", "nth"), "word").select(F.struct("qid", F.lit(1).alias("kind")).alias("key"), "n", "pos", "nth", F.col("candidate").alias("word"))
+    scored = best_paths(lookup(raw.unionByName(read), "choices"), words, pairs, p).select("key.*", "text", "log_p")
+    w = Window.partitionBy("qid").orderBy(F.desc("log_p"), "kind", "text")
     best = scored.withColumn("nth", F.row_number().over(w)).where("nth = 1")
-    return queries.select("qid", "query").join(best.select("qid", "text", "p"), "qid")
+    log_p = F.coalesce("log_p", F.lit(float("-inf")))  # a query without words
+    return queries.select("qid", "query").join(best, "qid", "left").select("qid", "query", F.when(F.col("kind") == 1, F.col("text")).otherwise(F.col("query")).alias("text"), F.exp(log_p).alias("p"), log_p.alias("log_p"))
+
+
+#: Characters of a prefix by which tokens and terms meet.
+PREFIX = 3
 
 
 def completions(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(qid, text, tail): words that the last token begins, with the two last words, which are scored.
 
-    Words meet the tokens by their prefixes, so that the join is by equality.
+    Words meet the tokens by their first characters, PREFIX at most, so that the join is by equality.
     """
-    last = queries.where(F.size("tokens") > 0).withColumn("last", F.element_at("tokens", -1))
-    prefixes = vocabulary.select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", F.lit(1), i))).alias("last"))
-    grown = last.join(prefixes, "last").where(F.col("term") != F.col("last"))
+    last = lookup(queries.where(F.size("tokens") > 0).withColumn("last", F.element_at("tokens", -1)).select("qid", "tokens", "last", F.substring("last", 1, PREFIX).alias("start")), "last")
+    sizes = F.sequence(F.lit(1), F.least(F.lit(PREFIX), F.length("term")))
+    starts = vocabulary.where(F.length("term") > 0).select("term", F.explode(F.transform(sizes, lambda i: F.substring("term", F.lit(1), i))).alias("start"))
+    grown = starts.join(last, "start").where(F.startswith("term", "last") & (F.col("term") != F.col("last")))
     tokens = F.concat(F.slice("tokens", 1, F.size("tokens") - 1), F.array("term"))
     return grown.select("qid", F.array_join(tokens, " ").alias("text"), F.slice(tokens, F.greatest(F.size(tokens) - 1, F.lit(1)), 2).alias("tail"))
 
 
 def continuations(queries: DataFrame, pairs: DataFrame, p: lx.Parameters = P, drop_end: bool = False) -> DataFrame:
     """(qid, text, tail, c): the words that follow the last token most often; earlier tokens are left out."""
-    last = queries.where(F.size("tokens") > 0).select("qid", F.element_at("tokens", -1).alias("prev"))
-    rows = last.join(pairs, "prev")
+    last = lookup(queries.where(F.size("tokens") > 0).select("qid", F.element_at("tokens", -1).alias("prev")), "last")
+    rows = pairs.join(last, "prev")
     if drop_end:
         rows = rows.where(F.col("word") != lx.END)
     w = Window.partitionBy("qid").orderBy(F.desc("c"), "word")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +19,10 @@ SEARCHES = ["the thand ndst reou", "thhe erlly", "inand of tione", "reeaux les",
 WORDS = ["a", "the", "onre", "zq", "sghl", "sch", "سلام", "آب", "l]p"]
 TOKEN = "the"
 PHRASE = "of the"
+#: Lemmas for the query that shows them: one becomes a stop word, one a single character.
+LEMMAS = {"ands": "and", "thes": "the", "ths": "th", "les": "le", "une": "un", "an": "a", "of": "و", "ing": "in"}
+#: Texts with digits, beside those of the tables.
+DIGITS = ["۱ ۲ سه", "کتاب ۷", "12 ۹۹ ۰"]
 
 
 def index(spark: SparkSession, sf_dir: str) -> se.Index:
@@ -34,7 +36,7 @@ def served(spark: SparkSession, sf_dir: str) -> se.Index:
     """The index of the folder as a search finds it: built once in a session, in the shared folder, and read from there."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _served:
-        _served[key] = se.stored(spark, f"{corpus.shared_folder(spark)}/index-{uuid.uuid4().hex}", corpus.documents(spark, sf_dir))
+        _served[key] = se.stored(spark, corpus.own_folder(spark, "index"), corpus.documents(spark, sf_dir))
     return _served[key]
 
 
@@ -44,12 +46,23 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("item_id").alias("qid"), F.col("text").alias("query"), an.clean(F.col("text")).alias("tokens"))
 
 
-def typed(spark: SparkSession) -> DataFrame:
-    return se.as_queries(spark, SEARCHES)
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as queries, and typed ones, which have negative ids."""
+    typed = se.as_queries(spark, SEARCHES).select((-1 - F.col("qid")).alias("qid"), "query", "tokens")
+    return items(spark, sf_dir).unionByName(typed).withColumn("force", F.lit(False))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns of conversations as queries, whole, and typed ones, which have negative ids."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn = 0")
+    typed = se.as_queries(spark, SEARCHES).select((-1 - F.col("qid")).alias("qid"), "query", "tokens")
+    return rows.select(F.col("conv_id").alias("qid"), F.col("text").alias("query"), an.clean(F.col("text")).alias("tokens")).unionByName(typed)
 
 
-def words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in WORDS], "word string")
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of benchmark items, and some of other layouts."""
+    own = items(spark, sf_dir).select(F.explode("tokens").alias("word"))
+    return own.unionByName(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct()
 
 
 def ranked(scored: DataFrame) -> DataFrame:
@@ -101,9 +114,9 @@ def vocabulary(spark, d):
 
 
 def corpus_stats(spark, d):
-    docs = corpus.documents(spark, d)
-    total = ix.postings(docs).agg(F.sum("tf").alias("total_terms"), F.countDistinct("doc_id").alias("docs_with_terms"))
-    return _rounded(ix.corpus_stats(docs).crossJoin(F.broadcast(total)))
+    """Of all documents, and of the postings that stay when minor terms go."""
+    i = served(spark, d)
+    return _rounded(i.stats.crossJoin(F.broadcast(ix.surviving(i.postings, i.all_terms))))  # one row each
 
 
 def token_postings_topk(spark, d):
@@ -124,7 +137,7 @@ def _cosine(tf: str):
 
 
 def bm25_topk(spark, d):
-    return ranked(se.rank(typed(spark), served(spark, d), "b"))
+    return ranked(se.rank(asked(spark, d), served(spark, d), "b"))
 
 
 def bm25_batch_queries(spark, d):
@@ -157,10 +170,11 @@ def lm_totals(spark, d):
 
 
 def _probability(spark, d, smoothed):
-    docs = corpus.documents(spark, d)
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.struct("conv_id", "turn").alias("key"), F.slice(an.clean(F.col("text")), 1, 4).alias("tokens"))
-    out = lm.sequence_probability(rows, lm.unigrams(docs), lm.bigrams(docs), smoothed)
-    return out.select("key.*", F.round("p", 12).alias("p"))
+    """Of each whole turn; null where a pair never occurs."""
+    i = served(spark, d)
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.struct("conv_id", "turn").alias("key"), an.clean(F.col("text")).alias("tokens"))
+    out = lm.sequence_probability(rows, i.unigrams, i.bigrams, smoothed)
+    return out.select("key.*", F.when(F.col("log_p") > float("-inf"), F.round("log_p", 6)).alias("log_p"))
 
 
 def bigram_prob_interpolated(spark, d):
@@ -186,15 +200,16 @@ def bigram_postings_topk(spark, d):
 
 
 def edits1(spark, d):
-    return words(spark).select("word", F.explode(an.edits(F.col("word"))).alias("edit"))
+    return words(spark, d).select("word", F.explode(an.edits(F.col("word"))).alias("edit"))
 
 
 def edits2_vocab(spark, d):
-    return sp.near_words(words(spark)).join(served(spark, d).terms.select("term").withColumnRenamed("term", "candidate"), "candidate", "left_semi").select("word", "candidate").distinct()
+    i = served(spark, d)
+    return sp.near_words(words(spark, d), i.terms, i.rests)
 
 
 def layout_swap(spark, d):
-    return words(spark).select("word", an.layout_swap(F.col("word")).alias("swapped"))
+    return words(spark, d).select("word", an.layout_swap(F.col("word")).alias("swapped"))
 
 
 def key_adjacency(spark, d):
@@ -214,37 +229,49 @@ def weighted_dl_distance(spark, d):
 
 
 def _pairs(spark, d):
-    """Each word of the vocabulary with the next one of its benchmark item."""
+    """Each word of the benchmark items with the one after it."""
     got = spark.read.parquet(f"{d}/benchmark.parquet").select(an.clean(F.col("text")).alias("t"))
     return got.where(F.size("t") > 1).select(F.inline(F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).distinct()
 
 
 def digit_words(spark, d):
-    rows = spark.createDataFrame([(i, str(t)) for i, t in enumerate(["۱ ۲ سه", "کتاب ۷", "12 ۹۹ ۰"])], "id long, text string")
-    return rows.select("id", F.array_join(an.digits_to_words(an.tokenize(F.col("text"))), " ").alias("words"))
+    """Of all turns, and of texts with digits, which have negative ids."""
+    typed = spark.createDataFrame([(-1 - i, 0, t) for i, t in enumerate(DIGITS)], "conv_id long, turn long, text string")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text").unionByName(typed)
+    return rows.select("conv_id", "turn", F.array_join(an.digits_to_words(an.tokenize(F.col("text"))), " ").alias("words"))
+
+
+def lemma_tokens(spark, d):
+    """Words by lemmas and a normaliser of the caller's, through the whole path from documents."""
+    lemma = F.create_map(*[F.lit(x) for pair in LEMMAS.items() for x in pair])
+    docs = corpus.documents(spark, d, lambda text: an.clean(text, lemma, lambda t: F.translate(t, "éè", "ee")))
+    return docs.select("doc_id", F.array_join("title_tokens", " ").alias("title"), F.array_join("body_tokens", " ").alias("body"), F.col("body_len").cast("long").alias("body_len"))
 
 
 def spell_candidates_top3(spark, d):
     i = served(spark, d)
-    found = sp.candidates(typed(spark).select(F.explode("tokens").alias("word")), i.terms, i.unigrams)
+    found = sp.candidates(asked(spark, d).select(F.explode("tokens").alias("word")), i.terms, i.unigrams, rests=i.rests)
     return found.select("word", "candidate", F.round("p", 12).alias("p"), F.col("nth").cast("long").alias("nth"))
 
 
 def spell_correct(spark, d):
     i = served(spark, d)
-    return sp.correct(typed(spark), i.terms, i.unigrams, i.bigrams).select("qid", "query", "text", F.round("p", 12).alias("p"))
+    out = sp.correct(asked(spark, d), i.terms, i.unigrams, i.bigrams, rests=i.rests)
+    return out.select("qid", "query", "text", F.round("p", 12).alias("p"), F.when(F.col("log_p") > float("-inf"), F.round("log_p", 6)).alias("log_p"))
 
 
 def query_check(spark, d):
-    return se.check(typed(spark), served(spark, d)).withColumn("searched", F.array_join("searched", "|"))
+    return se.check(asked(spark, d), served(spark, d)).withColumn("searched", F.array_join("searched", "|"))
 
 
 def search_results(spark, d):
-    return se.search(typed(spark), served(spark, d), ranker="b").select("qid", F.col("query_pos").cast("long").alias("query_pos"), F.col("rank").cast("long").alias("rank"), "doc_id", "title", "body", "score")
+    return se.search(asked(spark, d), served(spark, d), ranker="b").select("qid", F.col("query_pos").cast("long").alias("query_pos"), F.col("rank").cast("long").alias("rank"), "doc_id", "title", "body", "score")
 
 
 def search_response(spark, d):
-    return se.respond(se.as_queries(spark, [*SEARCHES, ""]), served(spark, d), ranker="b")
+    """Responses to all items and typed queries, and to an empty one."""
+    empty = se.as_queries(spark, [""]).select((F.col("qid") - 1000).alias("qid"), "query", "tokens", "force")
+    return se.respond(asked(spark, d).unionByName(empty), served(spark, d), ranker="b")
 
 
 def snippets(spark, d):
@@ -252,20 +279,26 @@ def snippets(spark, d):
 
 
 def prefix_completions(spark, d):
-    return sp.completions(typed(spark), served(spark, d).terms).select("qid", "text")
+    return sp.completions(turns(spark, d), served(spark, d).terms).select("qid", "text")
 
 
 def bigram_continuations(spark, d):
-    return sp.continuations(typed(spark), served(spark, d).bigrams).select("qid", "text", "c")
+    return sp.continuations(turns(spark, d), served(spark, d).bigrams).select("qid", "text", "c")
 
 
 def suggestions(spark, d):
-    return se.suggestions(typed(spark), served(spark, d)).select("qid", "text", F.round("score", 12).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return se.suggestions(turns(spark, d), served(spark, d)).select("qid", "text", F.round("score", 12).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def suggestion_response(spark, d):
+    """Responses to all first turns and typed queries, and to an empty one."""
+    empty = se.as_queries(spark, [""]).select((F.col("qid") - 1000).alias("qid"), "query", "tokens")
+    return se.respond_suggestions(turns(spark, d).unionByName(empty), served(spark, d))
 
 
 def xml_corpus(spark, d):
     """All pages written as a collection and read back."""
-    path = f"{corpus.shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    path = corpus.own_folder(spark, "collection")
     corpus.write_xml(spark.read.parquet(f"{d}/pages.parquet").withColumnRenamed("page_id", "doc_id"), path)
     return corpus.read_xml(spark, path)
 
@@ -273,6 +306,6 @@ def xml_corpus(spark, d):
 QUERIES = {f.__name__: f for f in (
     parse_pages, doc_lengths, clean_tokens, title_body_bigrams, postings, tf_variants, max_tf, term_stats, minor_terms, vocabulary, corpus_stats, token_postings_topk, docs_for_query, bm25_topk, bm25_batch_queries, doc_vectors,
     unigram_lm, bigram_lm, bigram_context_totals, unigram_prob, lm_totals, bigram_prob_interpolated, bigram_prob_mle, in_language, bigram_index, bigram_postings_topk, edits1, edits2_vocab, layout_swap, key_adjacency, detect_language,
-    levenshtein, weighted_dl_distance, digit_words, spell_candidates_top3, spell_correct, query_check, search_results, search_response, snippets, prefix_completions, bigram_continuations, suggestions, xml_corpus,
+    levenshtein, weighted_dl_distance, digit_words, lemma_tokens, spell_candidates_top3, spell_correct, query_check, search_results, search_response, snippets, prefix_completions, bigram_continuations, suggestions, suggestion_response, xml_corpus,
 )}
 QUERIES |= {f"tfidf_dot_{t}_{i}": _dot(t, i) for t in rk.TF for i in rk.IDF} | {f"tfidf_cosine_{t}": _cosine(t) for t in rk.TF}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from ..functions import lexicon as lx
+from ..sources.corpus import NAMED
 from . import catalog as cat
+from . import search as se
 
 
 def text(value: str) -> str:
@@ -39,13 +41,15 @@ t0 as (select term, count(*) as df, sum(tf)::bigint as cf from p0 group by term)
 t1 as (select term, df, cf, ln((1 + n) / df) as idf, case when df < n then ln((n - df) / df) end as prob_idf from t0, n),
 tm as (select * from t1 where cf > 10)"""
 ITEMS = f"q as (select item_id as qid, text as query, {clean('text')} as tokens from benchmark)"
-TYPED = f"q0 as (select i - 1 as qid, {texts(cat.SEARCHES)}[i] as query from range(1, {len(cat.SEARCHES) + 1}) r(i)), q as (select qid, query, {clean('query')} as tokens from q0)"
+_TYPED = f"select -i as qid, {texts(cat.SEARCHES)}[i] as query from range(1, {len(cat.SEARCHES) + 1}) r(i)"
+ASKED = f"q0 as (select item_id as qid, text as query from benchmark union all {_TYPED}), q as (select qid, query, {clean('query')} as tokens from q0)"
+TURNS = f"q0 as (select conv_id as qid, text as query from conversations where turn = 0 union all {_TYPED}), q as (select qid, query, {clean('query')} as tokens from q0)"
 QUERY_TERMS = "qt as (select qid, term, count(*) as qtf from (select qid, unnest(tokens) as term from q) group by all)"
 UNIGRAMS = f"""{DOCS}, c as (select list_append(t, {text(lx.END)}) as x from f union all select list_append(b, {text(lx.END)}) from f),
 u as (select word, count(*) as c from (select unnest(x) as word from c) group by word), us as (select sum(c)::bigint - 1 as total, count(*) as vocabulary from u)"""
 MODELS = f"""{UNIGRAMS}, bp as (select x[i] as prev, x[i + 1] as word from (select x, unnest(range(1, len(x))) as i from c)),
 bi as (select prev, word, count(*) as c from bp group by all), bs as (select prev, sum(c)::bigint as s, count(*) as continuations from bi group by prev)"""
-WORDS = f"w as (select unnest({texts(cat.WORDS)}) as word)"
+WORDS = f"w as (select unnest({texts(cat.WORDS)}) as word union select unnest({clean('text')}) from benchmark)"
 NEAR = "MAP {" + ", ".join(f"{text(c)}: {texts(near)}" for c, near in lx.NEIGHBOURS.items()) + "}"
 FIRST_KEYS = text("".join(lx.KEYBOARDS["en"]))
 
@@ -82,16 +86,23 @@ n2 as (select distinct word, unnest({edits("candidate")}) as candidate from n1,
 nw as (select word, candidate from n2 union select word, candidate from n1 union select word, word from {source} union select word, {swap("word")} from {source})"""
 
 
+def log_of(p: str) -> str:
+    return f"case when {p} > 0 then ln({p}) else '-infinity'::double end"
+
+
+SMOOTHED = "(0.9::double * coalesce(bi.c / bs.s, 0) + (1 - 0.9::double) * coalesce(u.c / us.total, 0))"
+FINITE = "case when log_p > '-infinity'::double then round(log_p, 6) end as log_p"
+
+
 def probability(source: str, smoothed: bool = True) -> str:
-    """pr(key, p) of source(key, tokens)."""
-    follows = "coalesce(bi.c / bs.s, 0)"
-    if smoothed:
-        follows = f"0.9::double * {follows} + (1 - 0.9::double) * coalesce(u.c / us.total, 0)"
+    """pr(key, p, log_p) of source(key, tokens)."""
+    follows = SMOOTHED if smoothed else "coalesce(bi.c / bs.s, 0)"
     one = "coalesce(u.c / us.total, 0)" if smoothed else "0.0::double"
     return f"""st as (select key, tokens[i] as prev, tokens[i + 1] as word from (select key, tokens, unnest(range(1, len(tokens))) as i from {source})),
-pr as (select key, product({follows}) as p from st left join bi using (prev, word) left join bs using (prev) left join u on u.word = st.word, us group by key
-  union all select key, {one} from (select key, tokens[1] as w from {source} where len(tokens) = 1) s left join u on u.word = s.w, us
-  union all select key, 0.0::double from {source} where len(tokens) = 0)"""
+pr0 as (select key, sum({log_of(follows)}) as log_p from st left join bi using (prev, word) left join bs using (prev) left join u on u.word = st.word, us group by key
+  union all select key, {log_of(one)} from (select key, tokens[1] as w from {source} where len(tokens) = 1) s left join u on u.word = s.w, us
+  union all select key, '-infinity'::double from {source} where len(tokens) = 0),
+pr as (select key, exp(log_p) as p, log_p from pr0)"""
 
 
 def top(score_sql: str, k: int = 10) -> str:
@@ -117,8 +128,6 @@ def bm25(source: str) -> str:
 
 def html_text(x: str) -> str:
     names = x
-    from ..sources.corpus import NAMED
-
     for name, char in NAMED.items():
         names = f"replace({names}, {text(name)}, {text(char)})"
     return names
@@ -152,16 +161,51 @@ _MODELS_AND_INDEX = f"{INDEX}, {MODELS.removeprefix(DOCS + ', ')}"
 _CANDIDATES = f"""qw as (select distinct unnest(tokens) as word from q), {near_words("qw")},
 cs as (select nw.word, candidate, coalesce(u.c / us.total, 0) as p from nw join tm on term = candidate left join u on u.word = candidate, us),
 cd as (select word, candidate, p, row_number() over (partition by word order by p desc, candidate) as nth from cs qualify nth <= 3)"""
+# the best way to each choice of each place, place by place
 _CORRECTED = f"""{_CANDIDATES}, ql as (select qid, pos, tokens[pos] as word, len(tokens) as n from (select qid, tokens, unnest(range(1, len(tokens) + 1)) as pos from q)),
-rd as (with recursive r as (select qid, 0::bigint as pos, []::varchar[] as tokens, len(tokens) as n from q where len(tokens) > 0
-  union all select r.qid, r.pos + 1, list_append(r.tokens, candidate), r.n from r join ql on ql.qid = r.qid and ql.pos = r.pos + 1 join cd on cd.word = ql.word) select qid, tokens from r where pos = n),
-al as (select struct_pack(qid := qid, kind := 0, text := query) as key, tokens from q union all select struct_pack(qid := qid, kind := 1, text := array_to_string(tokens, ' ')), tokens from rd),
-{probability("al")}, co as (select key.qid as qid, key.text as text, p from pr qualify row_number() over (partition by key.qid order by p desc, key.kind, key.text) = 1)"""
-_CHECKED = f"""{_CORRECTED}, cq as (select q.qid, query, text, co.p, tokens, {clean("text")} as own from q join co using (qid)),
+ch as (select qid, 0 as kind, n, pos, 1::bigint as nth, word from ql union all select qid, 1, n, pos, nth, candidate from ql join cd using (word)),
+fo as (select b.qid, b.kind, b.n, b.pos, a.nth as prev_nth, b.nth, b.word, {log_of(SMOOTHED)} as log_p from ch a join ch b on a.qid = b.qid and a.kind = b.kind and a.pos + 1 = b.pos
+  left join bi on bi.prev = a.word and bi.word = b.word left join bs on bs.prev = a.word left join u on u.word = b.word, us),
+vt as (with recursive v as (select qid, kind, n, pos, nth, struct_pack(cost := case when n = 1 then -({log_of("coalesce(u.c / us.total, 0)")}) else 0 end, t := word) as way from ch left join u using (word), us where pos = 1
+  union all select qid, kind, n, pos, nth, min(way) from (select fo.qid, fo.kind, fo.n, fo.pos, fo.nth, struct_pack(cost := v.way.cost - fo.log_p, t := v.way.t || ' ' || fo.word) as way
+    from v join fo on fo.qid = v.qid and fo.kind = v.kind and fo.pos = v.pos + 1 and fo.prev_nth = v.nth) group by all) select * from v),
+co as (select qid, query, case when kind = 1 then way.t else query end as text, coalesce(-way.cost, '-infinity'::double) as log_p, exp(coalesce(-way.cost, '-infinity'::double)) as p
+  from q left join (select qid, kind, way from vt where pos = n) using (qid) qualify row_number() over (partition by qid order by way.cost nulls last, kind, way.t) = 1)"""
+_CHECKED = f"""{_CORRECTED}, cq as (select q.qid, q.query, text, co.p, tokens, {clean("text")} as own from q join co using (qid)),
 hr as (select qid, count(distinct doc_id) as hits from (select qid, unnest(tokens) as term from cq) join tm using (term) join p using (term) group by qid),
 ho as (select qid, count(distinct doc_id) as hits from (select qid, unnest(own) as term from cq) join tm using (term) join p using (term) group by qid),
 ck as (select qid, query, text, case when query = text then 1 when coalesce(hr.hits, 0) > 10 then 2 when coalesce(ho.hits, 0) > 10 then 3 else 4 end as rule, cq.p from cq left join hr using (qid) left join ho using (qid))"""
 
+#: The cell of row i and column j of the table d for words a and b, row after row, w cells each.
+_CELL = """case when i = 0 then j when j = 0 then i else least(d[(i - 1) * w + j + 1] + 1, d[i * w + j] + 1, d[(i - 1) * w + j] + case when a[i:i] = b[j:j] then 0 when list_contains(coalesce(near[a[i:i]], []), b[j:j]) then 1 else 2 end,
+  case when i > 1 and j > 1 and a[i:i] = b[j - 1:j - 1] and a[i - 1:i - 1] = b[j:j] then d[(i - 2) * w + j - 1] + 1 else 1000000 end) end"""
+
+
+def _map(table: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"{text(a)}: {text(b)}" for a, b in table.items()) + "}"
+
+
+DOCS_ONLY = DOCS[: DOCS.index(",\nf as")]
+
+
+def _lemmas(x: str) -> str:
+    normal = f"translate({x}, 'éè', 'ee')"
+    first = f"list_filter({plain(normal)}, lambda t: not list_contains({texts(lx.STOP_WORDS)}, t))"
+    return f"list_filter(list_transform({first}, lambda t: coalesce({_map(cat.LEMMAS)}[t], t)), lambda t: length(t) > 1 and not list_contains({texts(lx.STOP_WORDS)}, t))"
+
+
+_SEARCHED = f"""{_CHECKED},
+      sx as (select qid, 0 as query_pos, case when rule = 3 then text else query end as query from ck union all select qid, 1, text from ck where rule = 4),
+      xt as (select qid, query_pos, term, count(*) as qtf from (select qid, query_pos, unnest({clean("query")}) as term from sx) group by all),
+      sc as (select qid, query_pos, doc_id, round(sum(qtf * (prob_idf * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * (len(t) + len(b)) / avdl)) * weight)), 6) as score
+        from xt join tm using (term) join p using (term) join f using (doc_id), n group by all having score is not null),
+      rk as (select *, row_number() over (partition by qid, query_pos order by score desc, doc_id) as rank from sc qualify rank <= 10),
+      fd as (select qid, query_pos, rank, doc_id, score, title, body, query from rk join sx using (qid, query_pos) join f using (doc_id)), {snippets("fd", "qid, query_pos, rank, doc_id, score, title")}"""
+_SUGGESTED = f"""{_COMPLETIONS}, {_CONTINUATIONS},
+      sg as (select struct_pack(qid := qid, text := array_to_string(xs, ' ')) as key, xs[greatest(len(xs) - 1, 1):] as tokens from cm union all select struct_pack(qid := qid, text := text), tail from cn), {probability("sg")},
+      su as (select key.qid as qid, key.text as text, p as score, row_number() over (partition by key.qid order by p desc, key.text) as rank from pr qualify rank <= 3)"""
+_BAD = text(se.BAD_REQUEST)
+
 SQL = {
     "parse_pages": f"with {_PARSED} select doc_id, url, title, body, len({clean('title')})::bigint as title_len, len({clean('body')})::bigint as body_len from g",
     "doc_lengths": f"with {DOCS} select doc_id, len(t)::bigint as title_len, len(b)::bigint as body_len from f",
@@ -173,10 +217,10 @@ SQL = {
     "term_stats": f"with {INDEX} select term, df, cf, round(idf, 9) as idf, round(prob_idf, 9) as prob_idf from t1",
     "minor_terms": f"with {INDEX} select term, df, cf, round(idf, 9) as idf, round(prob_idf, 9) as prob_idf from t1 where cf <= 10",
     "vocabulary": f"with {INDEX} select term from tm",
-    "corpus_stats": f"with {INDEX} select n, round(avdl, 9) as avdl, (select sum(tf)::bigint from p) as total_terms, (select count(distinct doc_id) from p) as docs_with_terms from n",
+    "corpus_stats": f"with {INDEX} select n, round(avdl, 9) as avdl, (select sum(tf)::bigint from p join tm using (term)) as total_terms, (select count(distinct doc_id) from p join tm using (term)) as docs_with_terms from n",
     "token_postings_topk": f"with {INDEX} select term, doc_id, tf from p where term = {text(cat.TOKEN)} order by tf desc, doc_id limit 10",
     "docs_for_query": f"with {INDEX}, {ITEMS}, h as (select qid, count(distinct doc_id) as hits from (select qid, unnest(tokens) as term from q) join tm using (term) join p using (term) group by qid) select qid, coalesce(hits, 0) as hits from q left join h using (qid)",
-    "bm25_topk": bm25(TYPED),
+    "bm25_topk": bm25(ASKED),
     "bm25_batch_queries": bm25(ITEMS),
     "doc_vectors": f"with {INDEX} select doc_id, term, round(relative * idf * weight, 9) as x from p join tm using (term)",
     "unigram_lm": f"with {UNIGRAMS} select word, c from u",
@@ -184,8 +228,8 @@ SQL = {
     "bigram_context_totals": f"with {MODELS} select prev, s, continuations from bs",
     "unigram_prob": f"with {UNIGRAMS} select word, round(c / total, 12) as p from u, us",
     "lm_totals": f"with {UNIGRAMS} select total, vocabulary from us",
-    "bigram_prob_interpolated": f"with {MODELS}, sq as (select struct_pack(conv_id := conv_id, turn := turn) as key, ({clean('text')})[1:4] as tokens from conversations), {probability('sq')} select key.conv_id as conv_id, key.turn as turn, round(p, 12) as p from pr",
-    "bigram_prob_mle": f"with {MODELS}, sq as (select struct_pack(conv_id := conv_id, turn := turn) as key, ({clean('text')})[1:4] as tokens from conversations), {probability('sq', False)} select key.conv_id as conv_id, key.turn as turn, round(p, 12) as p from pr",
+    "bigram_prob_interpolated": f"with {MODELS}, sq as (select struct_pack(conv_id := conv_id, turn := turn) as key, {clean('text')} as tokens from conversations), {probability('sq')} select key.conv_id as conv_id, key.turn as turn, {FINITE} from pr",
+    "bigram_prob_mle": f"with {MODELS}, sq as (select struct_pack(conv_id := conv_id, turn := turn) as key, {clean('text')} as tokens from conversations), {probability('sq', False)} select key.conv_id as conv_id, key.turn as turn, {FINITE} from pr",
     "in_language": f"with {MODELS}, a as (select distinct unnest({clean('text')}) as word from benchmark) select word, word in (select word from u) as is_word, word in (select prev from bs) as is_context from a",
     "bigram_index": f"with {DOCS}, bt as (select doc_id, unnest(list_concat({pairs('t')}, {pairs('b')})) as term from f), bq as (select term, doc_id, count(*) as tf from bt group by all), n as (select count(distinct doc_id) as n from f) select term, count(*) as df, sum(tf)::bigint as cf, round(ln((1 + any_value(n)) / count(*)), 9) as idf from bq, n group by term",
     "bigram_postings_topk": f"with {DOCS}, bt as (select doc_id, unnest(list_concat({pairs('t')}, {pairs('b')})) as term from f) select term, doc_id, count(*) as tf from bt where term = {_PHRASE} group by all order by tf desc, doc_id limit 10",
@@ -195,25 +239,25 @@ SQL = {
     "key_adjacency": "select c, nth::bigint as nth, adjacent from (values " + ", ".join(f"({text(c)}, {i}, {text(n)})" for c, near in lx.NEIGHBOURS.items() for i, n in enumerate(near)) + ") v(c, nth, adjacent)",
     "detect_language": f"with {INDEX} select term, case when {is_english('term')} then 'en' else 'fa' end as language from tm",
     "levenshtein": f"with {_PAIRS} select a, b, levenshtein({_BARE.format('a')}, {_BARE.format('b')})::bigint as distance from pq",
-    "digit_words": "select * from (values (0::bigint, 'یک دو سه'), (1, 'کتاب هفت'), (2, '12 ۹۹ صفر')) v(id, words)",
-    "spell_candidates_top3": f"with {_MODELS_AND_INDEX}, {TYPED}, {_CANDIDATES} select word, candidate, round(p, 12) as p, nth from cd",
-    "spell_correct": f"with {_MODELS_AND_INDEX}, {TYPED}, {_CORRECTED} select qid, query, text, round(co.p, 12) as p from q join co using (qid)",
-    "query_check": f"""with {_MODELS_AND_INDEX}, {TYPED}, {_CHECKED} select qid, case rule when 3 then text when 4 then query || '|' || text else query end as searched,
+    "weighted_dl_distance": f"""with recursive {_PAIRS}, km as (select {NEAR} as near),
+      wd as (select a, b, near, 0::bigint as k, []::bigint[] as d from pq, km union all select a, b, near, k + 1, list_append(d, {_CELL}) from (select *, k // (length(b) + 1) as i, k % (length(b) + 1) as j, length(b) + 1 as w from wd) where k < (length(a) + 1) * (length(b) + 1))
+      select a, b, d[-1]::int as distance from wd where k = (length(a) + 1) * (length(b) + 1)""",
+    "digit_words": f"with c as (select conv_id, turn, text from conversations union all select -i, 0, {texts(cat.DIGITS)}[i] from range(1, {len(cat.DIGITS) + 1}) r(i)) select conv_id, turn, array_to_string(list_transform({plain('text')}, lambda t: coalesce({_map(lx.DIGIT_WORDS)}[t], t)), ' ') as words from c",
+    "lemma_tokens": f"with {DOCS_ONLY}, l as (select doc_id, {_lemmas('title')} as t, {_lemmas('body')} as b from d) select doc_id, array_to_string(t, ' ') as title, array_to_string(b, ' ') as body, len(b)::bigint as body_len from l",
+    "spell_candidates_top3": f"with {_MODELS_AND_INDEX}, {ASKED}, {_CANDIDATES} select word, candidate, round(p, 12) as p, nth from cd",
+    "spell_correct": f"with {_MODELS_AND_INDEX}, {ASKED}, {_CORRECTED} select qid, query, text, round(p, 12) as p, {FINITE} from co",
+    "query_check": f"""with {_MODELS_AND_INDEX}, {ASKED}, {_CHECKED} select qid, case rule when 3 then text when 4 then query || '|' || text else query end as searched,
       case when rule = 3 or rule = 2 and p > 0.0001::double then text else '' end as suggestion, rule = 3 as active from ck""",
     "snippets": f"with {DOCS}, sd as (select doc_id, body, {_PHRASE} as query from d), {snippets('sd', 'doc_id')} select doc_id, snippet from sn",
-    "search_results": f"""with {_MODELS_AND_INDEX}, {TYPED}, {_CHECKED},
-      sx as (select qid, 0 as query_pos, case when rule = 3 then text else query end as query from ck union all select qid, 1, text from ck where rule = 4),
-      xt as (select qid, query_pos, term, count(*) as qtf from (select qid, query_pos, unnest({clean("query")}) as term from sx) group by all),
-      sc as (select qid, query_pos, doc_id, round(sum(qtf * (prob_idf * tf * 2.2::double / (tf + 1.2::double * (1 - 0.75::double + 0.75::double * (len(t) + len(b)) / avdl)) * weight)), 6) as score
-        from xt join tm using (term) join p using (term) join f using (doc_id), n group by all having score is not null),
-      rk as (select *, row_number() over (partition by qid, query_pos order by score desc, doc_id) as rank from sc qualify rank <= 10),
-      fd as (select qid, query_pos, rank, doc_id, score, title, body, query from rk join sx using (qid, query_pos) join f using (doc_id)), {snippets("fd", "qid, query_pos, rank, doc_id, score, title")}
-      select qid, query_pos::bigint as query_pos, rank, doc_id, title, snippet as body, score from sn""",
-    "prefix_completions": f"with {INDEX}, {TYPED}, {_COMPLETIONS} select qid, array_to_string(xs, ' ') as text from cm",
-    "bigram_continuations": f"with {MODELS}, {TYPED}, {_CONTINUATIONS} select qid, text, c from cn",
-    "suggestions": f"""with {_MODELS_AND_INDEX}, {TYPED}, {_COMPLETIONS}, {_CONTINUATIONS},
-      sg as (select struct_pack(qid := qid, text := array_to_string(xs, ' ')) as key, xs[greatest(len(xs) - 1, 1):] as tokens from cm union all select struct_pack(qid := qid, text := text), tail from cn), {probability("sg")}
-      select key.qid as qid, key.text as text, round(p, 12) as score, row_number() over (partition by key.qid order by p desc, key.text) as rank from pr qualify rank <= 3""",
+    "search_results": f"with {_MODELS_AND_INDEX}, {ASKED}, {_SEARCHED} select qid, query_pos::bigint as query_pos, rank, doc_id, title, snippet as body, score from sn",
+    "search_response": f"""with {_MODELS_AND_INDEX}, {ASKED}, {_SEARCHED},
+      rs as (select qid, list(struct_pack(id := doc_id, url := null::varchar, title := title, body := snippet, score := score) order by query_pos, rank) as documents from sn group by qid)
+      select qid, to_json(struct_pack(success := true, result := struct_pack(documents := coalesce(documents, []),
+        correction := case when rule = 3 or rule = 2 and p > 0.0001::double then struct_pack(active := rule = 3, query := text) end)))::varchar as response from ck left join rs using (qid)
+      union all select -1000, {_BAD}""",
+    "prefix_completions": f"with {INDEX}, {TURNS}, {_COMPLETIONS} select qid, array_to_string(xs, ' ') as text from cm",
+    "bigram_continuations": f"with {MODELS}, {TURNS}, {_CONTINUATIONS} select qid, text, c from cn",
+    "suggestions": f"with {_MODELS_AND_INDEX}, {TURNS}, {_SUGGESTED} select qid, text, round(score, 12) as score, rank from su",
     "xml_corpus": "select page_id::varchar as doc_id, url, html from pages",
 }
 SQL |= {f"tfidf_dot_{t}_{i}": dot(tf, idf) for t, tf in (("r", "relative"), ("a", "augmented"), ("l", "logarithm")) for i, idf in (("n", "idf"), ("p", "prob_idf"))}

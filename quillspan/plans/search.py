@@ -13,7 +13,7 @@ from ..operators import index as ix
 from ..operators import language_model as lm
 from ..operators import ranking as rk
 from ..operators import spelling as sp
-from ..sources.corpus import ensure, kept
+from ..sources.corpus import Analyser, ensure, kept, with_unique_ids
 
 P = Parameters()
 
@@ -29,48 +29,57 @@ class Index:
     unigrams: DataFrame
     bigrams: DataFrame
     p: Parameters = P
+    analyse: Analyser = clean
+    #: Where the tables are stored, and terms without one of their characters; none of an index that is only planned.
+    path: str | None = None
+    rests: DataFrame | None = None
 
     @property
     def terms(self) -> DataFrame:
         return ix.major(self.all_terms, self.p)
 
 
-def build(docs: DataFrame, p: Parameters = P) -> Index:
-    """The index as plans over docs; nothing runs yet."""
+def build(docs: DataFrame, p: Parameters = P, analyse: Analyser = clean) -> Index:
+    """The index as plans over docs; nothing runs yet.  ``analyse`` makes words of queries, as it has of docs."""
     own, stats = ix.postings(docs, p), ix.corpus_stats(docs)
-    return Index(docs, stats, own, ix.terms(own, stats), lm.unigrams(docs), lm.bigrams(docs), p)
+    return Index(docs, stats, own, ix.terms(own, stats), lm.unigrams(docs), lm.bigrams(docs), p, analyse)
 
 
-def stored(spark: SparkSession, path: str, docs: DataFrame, p: Parameters = P) -> Index:
+def stored(spark: SparkSession, path: str, docs: DataFrame, p: Parameters = P, analyse: Analyser = clean) -> Index:
     """The index at path; tables that aren't there are built and written, and all are read from there.
 
     Postings and terms are written by ranges of terms, so that a search for a term reads few row groups.
+    Document ids that are given twice are an error.
     """
-    docs = ensure(spark, f"{path}/docs", lambda: docs)
+    docs = ensure(spark, f"{path}/docs", lambda: with_unique_ids(docs))
     stats = ensure(spark, f"{path}/corpus_stats", lambda: ix.corpus_stats(docs))
     own = ensure(spark, f"{path}/postings", lambda: ix.postings(docs, p).repartitionByRange("term").sortWithinPartitions("term", "doc_id"))
     terms = ensure(spark, f"{path}/terms", lambda: ix.terms(own, stats).repartitionByRange("term").sortWithinPartitions("term"))
     ensure(spark, f"{path}/minor_terms", lambda: ix.minor(terms, p))
+    rests = ensure(spark, f"{path}/rests", lambda: sp.deletions(ix.major(terms, p).select("term")))
     unigrams = ensure(spark, f"{path}/unigrams", lambda: lm.unigrams(docs))
     bigrams = ensure(spark, f"{path}/bigrams", lambda: lm.bigrams(docs))
-    return Index(docs, stats, own, terms, unigrams, bigrams, p)
+    return Index(docs, stats, own, terms, unigrams, bigrams, p, analyse, path, rests)
 
 
-def stored_vectors(spark: SparkSession, path: str, i: Index, tf_type: str = "r") -> DataFrame:
-    """Documents' vectors at path, which rk.cosine_of takes; built and written if they aren't there."""
-    return ensure(spark, f"{path}/doc_weights_{tf_type}", lambda: rk.doc_weights(i.postings, i.terms, tf_type))
+def vectors(i: Index, tf_type: str = "r") -> DataFrame:
+    """Documents' vectors of length 1 (doc_id, term, u); those of a stored index are built once and read from there."""
+    def made() -> DataFrame:
+        return rk.doc_units(rk.doc_weights(i.postings, i.terms, tf_type))
 
+    return ensure(i.docs.sparkSession, f"{i.path}/doc_units_{tf_type}", lambda: made().repartitionByRange("term").sortWithinPartitions("term")) if i.path else made()
 
-def as_queries(spark: SparkSession, texts: list[str], force: bool = False) -> DataFrame:
+
+def as_queries(spark: SparkSession, texts: list[str], force: bool = False, analyse: Analyser = clean) -> DataFrame:
     """(qid, query, tokens, force)."""
     rows = spark.createDataFrame([(i, t, force) for i, t in enumerate(texts)], "qid long, query string, force boolean")
-    return rows.withColumn("tokens", clean(F.col("query")))
+    return rows.withColumn("tokens", analyse(F.col("query")))
 
 
 def check(queries: DataFrame, i: Index) -> DataFrame:
     """(qid, searched, suggestion, active): which strings are searched for each query, and what is suggested."""
     p, vocabulary = i.p, i.terms
-    corrected = kept(sp.correct(queries, vocabulary, i.unigrams, i.bigrams, p).withColumn("tokens", clean(F.col("text"))), "corrected")
+    corrected = kept(sp.correct(queries, vocabulary, i.unigrams, i.bigrams, p, i.rests).withColumn("tokens", i.analyse(F.col("text"))), "corrected")
     raw_hits = ix.matching_docs(queries.select("qid", "tokens"), i.postings, vocabulary).withColumnRenamed("hits", "raw_hits")
     own_hits = ix.matching_docs(corrected.select("qid", "tokens"), i.postings, vocabulary).withColumnRenamed("hits", "own_hits")
     rows = queries.select("qid", "query", "force").join(corrected.select("qid", "text", "p"), "qid").join(raw_hits, "qid").join(own_hits, "qid")
@@ -88,24 +97,33 @@ def parameters(ranker: str | None = None, tf_type: str | None = None, idf_type:
 def rank(queries: DataFrame, i: Index, ranker: str = "t", tf_type: str = "r", idf_type: str = "n", dis_func: str = "m") -> DataFrame:
     """(qid, doc_id, score) by BM25, the TF-IDF product, or its cosine; a type that isn't known gives no rows."""
     if ranker == "b":
-        return rk.scores(queries, rk.Bm25(i.p), i.postings, i.terms, i.docs, i.stats)
+        return rk.scores(queries, rk.Bm25(i.p), i.postings, i.terms, i.stats)
     if tf_type not in rk.TF or idf_type not in rk.IDF or dis_func not in ("m", "c"):
         return rank(queries, i).limit(0)
     if dis_func == "c":
-        return rk.cosine(queries, i.postings, i.terms, tf_type)
-    return rk.scores(queries, rk.TfIdf(tf_type, idf_type), i.postings, i.terms, i.docs, i.stats)
+        return rk.cosine_of(queries, vectors(i, tf_type), i.terms)
+    return rk.scores(queries, rk.TfIdf(tf_type, idf_type), i.postings, i.terms, i.stats)
 
 
 def search(queries: DataFrame, i: Index, regex: bool = False, checked: DataFrame | None = None, **request: str | None) -> DataFrame:
     """(qid, query_pos, rank, doc_id, url, title, body, score): results of all that is searched for each query, one after another."""
     checked = kept(check(queries, i), "checked") if checked is None else checked
     strings = checked.select("qid", F.posexplode("searched").alias("query_pos", "query"))
-    keyed = strings.select(F.struct("qid", "query_pos").alias("qid"), clean(F.col("query")).alias("tokens"))
+    keyed = strings.select(F.struct("qid", "query_pos").alias("qid"), i.analyse(F.col("query")).alias("tokens"))
     best = rk.top(rank(keyed, i, *parameters(**request)), i.p.results).select("qid.*", "rank", "doc_id", "score")
     rows = best.join(strings, ["qid", "query_pos"]).join(i.docs.select("doc_id", "url", "title", "body"), "doc_id")
     return rows.select("qid", "query_pos", "rank", "doc_id", "url", "title", snippet(F.col("body"), F.col("query"), i.p, regex).alias("body"), "score")
 
 
+BAD_REQUEST = '{"success":false,"error":"BAD_REQUEST"}'
+
+
+def envelope(answers: DataFrame, queries: DataFrame) -> DataFrame:
+    """answers (qid, response), and the error for each query that is null or empty."""
+    bad = queries.where(F.coalesce(F.length("query"), F.lit(0)) == 0).select("qid", F.lit(BAD_REQUEST).alias("response"))
+    return answers.select("qid", F.to_json("response", {"ignoreNullFields": "false"}).alias("response")).unionByName(bad)
+
+
 def respond(queries: DataFrame, i: Index, **request: str | None) -> DataFrame:
     """(qid, response): each query's response as JSON; a query that is null or empty is a bad request."""
     good = queries.where(F.length("query") > 0)
@@ -113,10 +131,17 @@ def respond(queries: DataFrame, i: Index, **request: str | None) -> DataFrame:
     results = search(good, i, checked=checked, **request).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("query_pos", "rank", F.struct(F.col("doc_id").alias("id"), "url", "title", "body", "score").alias("r")))).alias("rs"))
     correction = F.when(F.col("active") | (F.col("suggestion") != ""), F.struct("active", F.col("suggestion").alias("query")))
     listed = F.coalesce(F.transform("rs", lambda x: x["r"]), F.array())
-    answers = checked.join(results, "qid", "left").select("qid", F.to_json(F.struct(F.lit(True).alias("success"), correction.alias("correction"), listed.alias("results")), {"ignoreNullFields": "false"}).alias("response"))
-    bad = queries.where(F.coalesce(F.length("query"), F.lit(0)) == 0).select("qid", F.lit('{"success":false,"error":"BAD_REQUEST"}').alias("response"))
-    return answers.unionByName(bad)
+    result = F.struct(listed.alias("documents"), correction.alias("correction"))
+    return envelope(checked.join(results, "qid", "left").select("qid", F.struct(F.lit(True).alias("success"), result.alias("result")).alias("response")), queries)
 
 
 def suggestions(queries: DataFrame, i: Index, limit: int | None = None) -> DataFrame:
     return sp.suggest(queries, i.terms, i.unigrams, i.bigrams, i.p.suggestions if limit is None else limit, i.p)
+
+
+def respond_suggestions(queries: DataFrame, i: Index, limit: int | None = None) -> DataFrame:
+    """(qid, response): each query's suggestions as JSON, likeliest first; a query that is null or empty is a bad request."""
+    good = queries.where(F.length("query") > 0)
+    found = suggestions(good, i, limit).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.struct("text", "score").alias("s")))).alias("ss"))
+    listed = F.coalesce(F.transform("ss", lambda x: x["s"]), F.array())
+    return envelope(good.select("qid").join(found, "qid", "left").select("qid", F.struct(F.lit(True).alias("success"), listed.alias("suggestions")).alias("response")), queries)

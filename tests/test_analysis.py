@@ -72,9 +72,16 @@ def test_edits(spark, word, size):
     assert size is None or len(got) == size
 
 
-def test_two_edits_give_the_word_back(spark):
-    rows = sp.near_words(spark.createDataFrame([("the",)], "word string")).distinct()
-    assert rows.count() == len({x for e in plain_edits("the") for x in plain_edits(e)} | plain_edits("the") | {"the", "فاث"})
+@pytest.mark.parametrize("word", ["the", "ab", "aab", "l]p", "سلا"])
+def test_two_edits(spark, word):
+    """Of all strings at two edits, each is found, and none else."""
+    two = {x for e in plain_edits(word) for x in plain_edits(e)} | plain_edits(word) | {word}
+    far = {x + "qzqzq" for x in list(two)[:50]} | {x[::-1] + "xx" for x in list(two)[:50]}
+    some = sorted(two)[:: max(1, len(two) // 3000)] + sorted(far)
+    vocabulary = spark.createDataFrame([(t,) for t in some if t], "term string")
+    got = {r.candidate for r in sp.near_words(spark.createDataFrame([(word,)], "word string"), vocabulary).collect()}
+    swap = one(spark, an.layout_swap(F.col("w")), w=word)
+    assert got == {t for t in some if t and (t in two or t == swap)}
 
 
 @pytest.mark.parametrize("word,swapped", [("sghl", "سلام"), ("سلام", "sghl"), ("aس", None), ("l]p", "مچح"), ("آژ", "hc"), ("1", ",")])

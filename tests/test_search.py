@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan.functions.analysis import clean
 from quillspan.operators import index as ix
 from quillspan.operators import language_model as lm
 from quillspan.operators import ranking as rk
@@ -116,8 +117,8 @@ def test_suggestions(spark, big):
 
 
 def test_response(spark, big):
-    got = {r.qid: json.loads(r.response) for r in se.respond(se.as_queries(spark, ["hpuse", ""]), big, ranker="b").collect()}
-    assert got[0]["success"] and got[0]["correction"] == {"active": True, "query": "house"}
+    got = {r.qid: json.loads(r.response) for r in se.respond(se.as_queries(spark, ["hpuse", ""]), big).collect()}
+    assert got[0]["success"] and got[0]["result"]["correction"] == {"active": True, "query": "house"} and len(got[0]["result"]["documents"]) == 10
     assert got[1] == {"success": False, "error": "BAD_REQUEST"}
 
 
@@ -133,8 +134,8 @@ def test_pages_and_xml(spark, tmp_path):
     corpus.write_xml(pages.where("doc_id = 1"), str(tmp_path / "c"))
     (tmp_path / "c" / "other.xml").write_text("<ROOT><DOC><DOCID>9</DOCID></DOC></ROOT>")
     odd = spark.createDataFrame([(1, "u", "<title>&#1587;&eacute;</title><body>&amp;lt; &#x41;")], "doc_id long, url string, html string")
-    whole = corpus.parse_pages(odd, "doc_id", corpus.all_entities).first()
-    assert (whole.title, whole.body) == ("سé", "&lt; A")
+    whole, named = corpus.parse_pages(odd, "doc_id").first(), corpus.parse_pages(odd, "doc_id", corpus.entities).first()
+    assert (whole.title, whole.body) == ("سé", "&lt; A") and named.title == "&#1587;&eacute;"
     back = corpus.read_xml(spark, str(tmp_path / "c")).collect()
     assert [(r.doc_id, r.url, r.html) for r in back] == [("1", "u", html)]
 
@@ -145,7 +146,67 @@ def test_stored_index(spark, docs, tmp_path):
     again = se.stored(spark, path, docs.limit(0))
     assert again.all_terms.count() == first.all_terms.count() > 0
     free = se.Index(first.docs, first.stats, first.postings, first.all_terms, first.unigrams, first.bigrams, se.Parameters(minor=0))
-    vectors = se.stored_vectors(spark, str(tmp_path / "v"), free)
     q = se.as_queries(spark, ["alpha delta"])
-    assert sorted(rk.cosine_of(q, vectors, free.terms).collect()) == sorted(rk.cosine(q, free.postings, free.terms).collect()) != []
-    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["bigrams", "corpus_stats", "docs", "minor_terms", "postings", "terms", "unigrams"]
+    free.path = str(tmp_path / "v")
+    from_disk = [sorted(se.rank(q, free, dis_func="c").collect()) for _ in range(2)]
+    assert from_disk[0] == from_disk[1] == sorted(rk.cosine(q, free.postings, free.terms).collect()) != []
+    assert (tmp_path / "v" / "doc_units_r").exists()
+    assert sorted(p.name for p in (tmp_path / "index").iterdir()) == ["bigrams", "corpus_stats", "docs", "minor_terms", "postings", "rests", "terms", "unigrams"]
+    assert sorted(r.term for r in spark.read.parquet(f"{path}/minor_terms").collect()) == sorted(r.term for r in first.all_terms.collect())
+    with pytest.raises(ValueError, match="several documents"):
+        se.stored(spark, str(tmp_path / "twice"), docs.unionAll(docs.limit(1)))
+
+
+def test_words_of_the_caller_go_all_the_way(spark):
+    lemma = F.create_map(F.lit("houses"), F.lit("house"))
+    analyse = lambda t: clean(t, lemma, lambda x: F.replace(x, F.lit("ö"), F.lit("o")))
+    docs = corpus.parse_texts(spark.createDataFrame([(1, "höuses\nhöuse"), (2, "tree\nhouses"), (3, "tree\ntree")], "doc_id long, text string"), analyse)
+    i = se.build(docs, se.Parameters(minor=0), analyse)
+    assert rows(i.postings, "term", "doc_id")["house", 1].tf == 2
+    q = se.as_queries(spark, ["höuses"], True, analyse)
+    assert {r.doc_id for r in se.search(q, i, ranker="b").collect()} == {1, 2}
+
+
+def test_suggestion_response(spark, big):
+    got = {r.qid: json.loads(r.response) for r in se.respond_suggestions(se.as_queries(spark, ["the hou", "", "و"]), big).collect()}
+    assert got[0]["success"] and [x["text"] for x in got[0]["suggestions"]] == ["the house"] and got[0]["suggestions"][0]["score"] > 0
+    assert got[1] == {"success": False, "error": "BAD_REQUEST"} and got[2] == {"success": True, "suggestions": []}
+
+
+def plain_best(choices, follow, own):
+    import itertools
+
+    def log_p(seq):
+        p = [own.get(seq[0], 0)] if len(seq) == 1 else [follow(a, b) for a, b in zip(seq, seq[1:])]
+        return sum(math.log(x) if x else -math.inf for x in p)
+
+    return min((-round(log_p(s), 9), " ".join(s)) for s in itertools.product(*choices))
+
+
+def test_best_paths_are_those_of_all_readings(spark):
+    import random
+
+    r = random.Random(2)
+    names = [f"w{i}" for i in range(9)]
+    texts = [(i, " ".join(r.choice(names) for _ in range(30)) + "\n") for i in range(5)]
+    d = corpus.parse_texts(spark.createDataFrame(texts, "doc_id long, text string"))
+    u, b = lm.unigrams(d), lm.bigrams(d)
+    uni, pairs = {x.word: x.c for x in u.collect()}, {(x.prev, x.word): x.c for x in b.collect()}
+    total, starts = sum(uni.values()) - 1, {w: sum(c for (a, _), c in pairs.items() if a == w) for w in names}
+    own = {w: c / total for w, c in uni.items()}
+    follow = lambda a, c: 0.9 * (pairs.get((a, c), 0) / starts[a] if starts.get(a) else 0) + 0.1 * own.get(c, 0)
+    queries = {k: [sorted(r.sample([*names, "unseen"], r.randrange(1, 4))) for _ in range(n)] for k, n in enumerate((1, 2, 5, 7))}
+    rows_ = [(k, len(q), pos, nth, w) for k, q in queries.items() for pos, own_ in enumerate(q) for nth, w in enumerate(own_, 1)] + [(99, 2, 0, 1, "w1")]
+    got = {x.key: x for x in sp.best_paths(spark.createDataFrame(rows_, "key int, n int, pos int, nth int, word string"), u, b).collect()}
+    assert set(got) == set(queries)
+    for k, q in queries.items():
+        cost, text = plain_best(q, follow, own)
+        assert got[k].log_p == pytest.approx(-cost, abs=1e-8) and (got[k].text == text or cost == math.inf)
+
+
+def test_a_long_query_takes_seconds(spark, big):
+    import time
+
+    began = time.time()
+    got = sp.correct(se.as_queries(spark, ["hpuse " * 40]), big.terms, big.unigrams, big.bigrams).first()
+    assert got.text == " ".join(["house"] * 40) and math.isfinite(got.log_p) and time.time() - began < 60
