@@ -166,14 +166,15 @@ def page(n, body, extra="", title="t"):
 
 
 def text_of(spark, pages):
-    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").withColumns({"host": F.lit("x"), "key": F.lit(1), "text": F.lit("y"), "pivot": F.lit("z")})
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("host", "key", "text", "wrapper", "vote", "slot", "bytes", "salt", "part")})
     return {r.page_id: r.text for r in wrappers.extract(df).collect()}
 
 
 def test_article_text(spark):
-    article = "<article><header><h1>Ti &amp; tle</h1></header><p><b>One\n  two<br>three<p>fo<i>ur</i> &lt;5&gt;<ul><li>six<li>seven</ul><script>no()</script><!-- no --><div class='ad'>buy</div></article>"
-    got = text_of(spark, [("http://h/1", page(1, article)), ("http://h/2", page(2, "<div><p>plain &eacute; page</p></div>")), (None, None), ("no host", ""), ("http://h/1", page(1, article))])
-    assert got == {0: "Ti & tle One two three four <5> six seven", 1: "plain é page", 2: "", 3: "", 4: "Ti & tle One two three four <5> six seven"}
+    article = "<article><header><h1>Ti &amp; tle</h1></header><p><b>One\n  two<br>three<p>fo<i>ur</i> &lt;5&gt;<ul><li>six<li>seven</ul><script>no()</script><!-- no --><div class='ad'>buy</div><p hidden>no</p></article>"
+    got = text_of(spark, [("http://h/1", page(1, article)), ("http://h/2", page(2, "<div><p>plain &eacute; page</p></div>")), (None, None), ("no host", ""), ("http://h/1", page(1, article)), ("http://h/other", page(1, article))])
+    whole = "Ti & tle One two three four <5> six seven"
+    assert got == {0: whole, 1: "plain é page", 2: "", 3: "", 4: whole, 5: whole}
 
 
 @pytest.mark.parametrize("size", [wrappers.BROADCAST_BYTES, 0])
@@ -184,7 +185,7 @@ def test_constant_nodes_are_template(spark, monkeypatch, size):
     pages, expected = [], []
     for i in range(40):
         own = [f"own text {i} {k} {r.random()}" for k in range(r.randrange(1, 6))]
-        body = "<div><h2>Site name and motto</h2>" + "".join(f"<p>{x}</p>" for x in own) + "<p>Read more on this site</p></div><div>Imprint</div>"
+        body = f"<div id='post-{i}'><h2>Site name and motto</h2>" + "".join(f"<p>{x}</p>" for x in own) + "<p>Read more on this site</p></div><div>Imprint</div>"
         pages.append((f"https://u@Host.example:8080/{i}", page(i, body)))
         expected.append(" ".join(own))
     pages.append(("https://other.example/", page(1, "<p>Read more on this site</p>")))
@@ -194,21 +195,120 @@ def test_constant_nodes_are_template(spark, monkeypatch, size):
 
 def test_copies_of_one_page_are_no_template(spark):
     same = page(0, "<div><p>the same text everywhere</p></div>")
-    assert set(text_of(spark, [("http://h/x", same)] * 30).values()) == {"the same text everywhere"}
+    assert set(text_of(spark, [("http://h/x", same)] * 30 + [(f"http://h/{i}", same) for i in range(9)]).values()) == {"the same text everywhere"}
+
+
+def sentence(r, n):
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(n)).capitalize() + "."
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 9, 30])
+def test_neutral_markup(spark, size):
+    """No article or main element, no telling names: the slots alone say which part is the article; hosts of 1 to 30 pages."""
+    r = random.Random(size)
+    pages, expected = [], []
+    for host in range(4):
+        for i in range(size):
+            menu = "".join(f"<li><a href='/{x}'>{sentence(r, 1)}</a></li>" for x in range(6))
+            own = [sentence(r, r.randrange(30, 60)) for _ in range(r.randrange(3, 9))]
+            title = sentence(r, 6)
+            body = f"<div><ul>{menu}</ul></div><div class='x1'>{sentence(r, 7)}</div><div class='x2 id-{i}' id='n{i}'><h1>{title}</h1>" + "".join(f"<p>{x}</p>" for x in own) + f"</div><div class='x3'>&copy; {sentence(r, 4)}</div>"
+            pages.append((f"http://h{host}/{i}", f"<html><body>{body}</body></html>"))
+            expected.append(" ".join([title, *own]))
+    got = text_of(spark, pages)
+    assert [got[i] for i in range(len(pages))] == expected
+
+
+def test_names_that_only_sound_like_asides_stay(spark):
+    r = random.Random(3)
+    parts = [("div", "social-science alert-study"), ("section", "discussion"), ("p", "tags-theory")]
+    pages, expected = [], []
+    for i in range(6):
+        own = [sentence(r, 40) for _ in range(4)]
+        inside = f"<p>{own[0]}</p>" + "".join(f"<{t} class='{c}'>{x}</{t}>" for (t, c), x in zip(parts, own[1:]))
+        pages.append((f"http://h/{i}", page(i, f"<article>{inside}<section class='comments'>" + "".join(f"<div class='c'><b>reader {i}</b><p>{sentence(r, 30)}</p></div>" for _ in range(3)) + "</section></article>")))
+        expected.append(" ".join(own))
+    got = text_of(spark, pages)
+    assert [got[i] for i in range(6)] == expected
+
+
+def test_text_outside_of_the_landmark_stays(spark):
+    r = random.Random(5)
+    lead, rest = ([sentence(r, n) for _ in range(5)] for n in (20, 60))
+    got = text_of(spark, [(f"http://h/{i}", f"<html><body><main><p>{a}</p></main><div><p>{b}</p><p>{b[::-1]}</p></div></body></html>") for i, (a, b) in enumerate(zip(lead, rest))])
+    assert [got[i] for i in range(5)] == [f"{a} {b} {b[::-1]}" for a, b in zip(lead, rest)]
+
+
+def test_pages_of_several_kinds_on_a_host(spark):
+    """Each kind's own region is elected on its pages, and the same advert on all goes."""
+    r = random.Random(7)
+    pages, expected = [], []
+    for i in range(30):
+        own = [sentence(r, 30) for _ in range(4)]
+        kind = i % 3
+        inside = "".join(f"<p>{x}</p>" for x in own)
+        body = f"<div class='k{'abc'[kind]}'>{inside}</div>"
+        pages.append((f"http://h/{i}", f"<html><body><div class='y1'>Buy this now, dear reader of ours.</div>{'<table><tr><td>' if kind == 2 else ''}{body}{'</td></tr></table>' if kind == 2 else ''}<div class='y2'>{sentence(r, 3)}</div></body></html>"))
+        expected.append(" ".join(own))
+    got = text_of(spark, pages)
+    assert [got[i] for i in range(30)] == expected
+
+
+def plain_host(htmls):
+    """A host's description by counting, from its distinct pages."""
+    from collections import Counter, defaultdict
+
+    wrapper = wrappers.wrapper_of(wrappers.induced(htmls))
+    pages = {h: wrappers.Page(h, *wrapper) for h in htmls}
+    votes, texts, regions = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
+    for p in pages.values():
+        if (v := p.vote()) >= 0:
+            votes[p.regions[v][0]] += 1
+        for key, _, chars, links, *_ in p.regions:
+            regions[key] = [x + y for x, y in zip(regions[key], (1, chars, links))]
+        texts.update({(p.regions[n][0], key) for n, _, key, _ in p.blocks})
+    counts = defaultdict(list)
+    for (slot, _), m in texts.items():
+        counts[slot].append(m)
+    told = {k: (*x, 1 - len(counts[k]) / sum(counts[k]) if counts[k] else 0.0) for k, x in regions.items() if x[0] >= 2}
+    return pages, wrappers.Host(told, {key for (_, key), m in texts.items() if m >= 3 and 2 * m >= len(htmls)}, dict(votes))
+
+
+def test_descriptions_are_those_of_plain_counting(spark):
+    """Small hosts of pages that are all samples: the query's texts are those of counts in one place."""
+    r = random.Random(9)
+    for size in (1, 2, 4, 7):
+        pool = [sentence(r, r.randrange(1, 20)) for _ in range(12)]
+        htmls = []
+        for i in range(size):
+            parts = [f"<{t} class='{r.choice(['', 'ad', 'x', f'u{i}', 'comments'])}'>{r.choice(pool)}<a>{r.choice(pool)}</a></{t}>" * r.randrange(3) for t in r.choices(["p", "div", "ul", "section", "nav", "footer", "h1"], k=12)]
+            htmls.append(f"<body>{sentence(r, 1)}<div>{''.join(parts[:6])}</div>{''.join(parts[6:])}</body>")
+        rows = spark.createDataFrame([(h,) for h in htmls], "html string").selectExpr("html", "xxhash64(html) as k").collect()
+        parts = {}
+        for x in rows:
+            part = x.k % wrappers.SAMPLES
+            parts[part] = min(parts.get(part, (x.k, x.html)), (x.k, x.html))
+        samples = [h for _, h in parts.values()]
+        if len(samples) < len(set(htmls)):
+            continue
+        pages, host = plain_host(samples)
+        expected = [wrappers.article(pages[h], pages[h].vote(), host) for h in htmls]
+        got = text_of(spark, [(f"http://one/{i}", h) for i, h in enumerate(htmls)])
+        assert [got[i] for i in range(size)] == expected
 
 
 def tree(spec):
-    n = wrappers.Node(spec[0])
-    n.children = [tree(c) for c in spec[1:]]
-    return n
+    f = wrappers.Fold(spec[0])
+    f.kids = [tree(c) for c in spec[1:]]
+    return f
 
 
 def plain_match(a, b):
     if a.label != b.label:
         return 0
-    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
-    for i, x in enumerate(a.children, 1):
-        for j, y in enumerate(b.children, 1):
+    m = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids, 1):
+        for j, y in enumerate(b.kids, 1):
             m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + plain_match(x, y))
     return 1 + m[-1][-1]
 
@@ -221,13 +321,19 @@ def test_tree_matching_is_best():
 
     for _ in range(150):
         a, b = tree(["r", *some(3)[1:]]), tree(["r", *some(3)[1:]])
-        wrappers.number(a)
-        wrappers.number(b)
         got = wrappers.match(a, b)
-        assert len(got) == plain_match(a, b) and len(set(got.values())) == len(got)
+        assert len(got) == plain_match(a, b) and len({id(y) for _, y in got}) == len({id(x) for x, _ in got}) == len(got)
+    a, b = (tree(["r", *[[c] for c in r.choices("ab", k=300)]]) for _ in range(2))
+    assert len(wrappers.match(a, b)) == plain_match(a, b)
 
 
 def test_broken_and_deep_pages(spark):
     deep = "<div>" * 5000 + "deep" + "</p>" * 10
     got = text_of(spark, [("http://h/", deep), ("http://h/", "<p>a <b>b</i> c<td>d <a href='x>y'>e</a> < 5 <"), ("http://h/", "<!-- open <p>x"), ("http://h/", "just text"), ("http://h/", "<script>no</script>yes<style>no")])
     assert got == {0: "deep", 1: "a b c d e < 5 <", 2: "", 3: "just text", 4: "yes"}
+
+
+def test_a_very_long_page(spark):
+    long = "".join(f"<p>paragraph {i} of this page.</p><h2>head {i}</h2>" for i in range(3000)) + "<ul>" + "<li>item" * 20_000 + "</ul>"
+    got = text_of(spark, [("http://h/", f"<article>{long}</article>"), ("http://h/2", "<article><p>short one.</p></article>")])
+    assert got[0].split()[:5] == ["paragraph", "0", "of", "this", "page."] and got[0].count("item") == 20_000 and got[1] == "short one."
