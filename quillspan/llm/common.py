@@ -14,20 +14,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts may be long, and a worker holds a few batches.
-BATCH_ROWS = 500
+#: Rows and bytes in an Arrow batch in place of Spark's defaults: texts may be long, and a worker holds a few batches.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none, as in tests on one machine, a temporary one is set.
+    Where the session names none, as in tests on one machine, a temporary one is
+    set; executors of other machines would not see that one, so there the setting
+    is asked for.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspan-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
@@ -76,7 +80,10 @@ def claim(name: str, clear: Callable[[], None] = lambda: None) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches by rows and bytes for the session's plans, which read these settings when they run; what its owner has set stays."""
+    for key, (default, value) in BATCH.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
 
 
 #: A table of fewer rows, of a few dozen bytes each, goes to all tasks.

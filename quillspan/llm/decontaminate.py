@@ -11,11 +11,13 @@
    the share of the best possible one, so edited and paraphrased copies score by
    what they keep.
 
-The benchmark travels to the tasks in blocks of at most ``block_bytes`` of text;
-a larger one is done block after block.
+The benchmark travels to the tasks in blocks of at most ``block_bytes`` of text,
+whose seeds take about twenty times as much; a larger one is done block after block.
 
 Defined results: words are what white space parts, in lower case, without marks
-around them; items of fewer words than n, and null ones, have no rows; a null
+around them; items of fewer words than n are only found whole, and not used to
+drop texts, since a word or two are no leak; null items, and those without words,
+have no rows; a null
 text counts as the empty one; an item id given twice counts by each of its
 texts, and the best score is kept; repeated rows give equal rows each; of equal
 scores in a text the first place is kept; an empty table gives an empty result.
@@ -34,6 +36,8 @@ from .ngram_join import mix
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…¿¡"
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BITS = 20
+#: A name that no table has.
+KEY = "__decontaminate_key"
 
 
 class BareHashes(dict):
@@ -112,11 +116,31 @@ def spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + lo[of], of
 
 
+class Whole:
+    """Items too short for seeds: found where all their words stand side by side."""
+
+    def __init__(self, items: list[tuple[object, np.ndarray]]):
+        self.items = items
+        self.firsts = np.unique(np.array([w[0] for _, w in items], dtype=np.uint64))
+
+    def leaks_in(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
+        if not self.items or not np.isin(words, self.firsts).any():
+            return {}
+        out = {}
+        for number, (_, item) in enumerate(self.items):
+            n = len(words) - len(item) + 1
+            if n > 0 and (at := np.flatnonzero(np.all([words[k : n + k] == w for k, w in enumerate(item)], axis=0))).size:
+                out[number] = (1.0, int(at[0]), len(item))
+        return out
+
+
 class Seeds:
     """The pairs of all items, and how many of them an item's copy has at least."""
 
     def __init__(self, items: list[tuple[object, np.ndarray]], threshold: float):
         self.items, self.threshold = items, threshold
+        if not items:
+            return
         found = [pairs(w) for _, w in items]
         hashes = np.concatenate([h for h, _ in found])
         self.finder = Finder(hashes)
@@ -132,6 +156,8 @@ class Seeds:
 
     def leaks_in(self, words: np.ndarray) -> dict[int, tuple[float, int, int]]:
         """Of one text: item's number to (score, first word, number of words)."""
+        if not self.items:
+            return {}
         h, at = pairs(words)
         found, key = self.finder.places(h)
         if not found.size:
@@ -178,8 +204,8 @@ def best_in(item: np.ndarray, words: np.ndarray, shifts: np.ndarray, drift: int,
     return best
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_bytes: int = 16_000_000) -> DataFrame:
-    """(doc_id, text_key, item_id, score, first_word, n_words): each text with each item that it has a copy of."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5, block_bytes: int = 8_000_000, short: bool = True) -> DataFrame:
+    """(doc_id, text_key, item_id, score, first_word, n_words): each text with each item that it has a copy of; ``short`` items too, where they stand whole."""
     if threshold * n <= 1:
         raise ValueError("a copy has a pair of near words for sure only where the threshold is more than 1 / n")
     spark = docs.sparkSession
@@ -189,23 +215,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
     found = []
     for block in item_blocks(benchmark, block_bytes):
         rows = block.select("item_id", "text").collect()  # block_bytes of text at most
-        items = [(r["item_id"], w) for r in rows if len(w := word_hashes(r["text"])) >= n]
-        if not items:
+        items = [(r["item_id"], w) for r in rows if len(w := word_hashes(r["text"]))]
+        long, brief = [x for x in items if len(x[1]) >= n], [x for x in items if short and len(x[1]) < n]
+        if not long and not brief:
             continue
-        shared = spark.sparkContext.broadcast(Seeds(items, threshold))
+        shared = spark.sparkContext.broadcast((Seeds(long, threshold), Whole(brief)))
 
         def make(shared=shared):
             own_words()
-            seeds = shared.value
+            finders = shared.value
 
             def run(cols):
                 out = []
                 for doc, key, text in zip(cols["doc_id"], cols["text_key"], cols["text"]):
                     best: dict = {}
-                    for number, x in seeds.leaks_in(word_hashes(text)).items():
-                        item = seeds.items[number][0]
-                        if x[0] > best.get(item, (0,))[0]:
-                            best[item] = x
+                    words = word_hashes(text)
+                    for finder in finders:
+                        for number, x in finder.leaks_in(words).items():
+                            item = finder.items[number][0]
+                            if x[0] > best.get(item, (0,))[0]:
+                                best[item] = x
                     out += [(doc, key, item, *x) for item, x in best.items()]
                 if out:
                     yield dict(zip(("doc_id", "text_key", "item_id", "score", "first_word", "n_words"), zip(*out)))
@@ -223,8 +252,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: flo
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float = 0.5) -> DataFrame:
     """docs without those that have a copy of an item."""
-    leaks = written(find_leaks(docs, benchmark, n, threshold).select(F.col("text_key").alias("_key")).distinct(), "leaks")
-    return docs.withColumn("_key", text_key(text_of())).join(leaks, "_key", "left_anti").select(*docs.columns)
+    leaks = written(find_leaks(docs, benchmark, n, threshold, short=False).select(F.col("text_key").alias(KEY)).distinct(), "leaks")
+    return docs.withColumn(KEY, text_key(text_of())).join(leaks, KEY, "left_anti").select(*docs.columns)
 
 
 def op7_decontaminate(spark, sf_dir: str, n: int = 3, threshold: float = 0.5) -> DataFrame:

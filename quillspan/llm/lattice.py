@@ -4,13 +4,15 @@ Every way to cut a word into pieces of an existing vocabulary counts, each
 weighed by the product of its pieces' probabilities and of a stop, and a forward
 recursion in log space sums over all of them.  The vocabulary is that of a public
 tokenizer.  Its own scores order the pieces by rank and are the start;
-expectation maximisation over the training words then turns them into
-probabilities, one set for each of a few classes of texts.  A training word also
-has an arc of its own from start to end, weighed by its discounted share of the
-class's tokens; the lattice has what is left.  A document's probability is the
-sum over classes of the class's share times the product of its words and its
-end.  Pieces that begin a word sum to one, those within it with the stop too, and
-so do arcs, lattice and end: the whole is a proper distribution.
+expectation maximisation over all training tokens then turns them into
+probabilities, one set for each of a few classes of texts.  The lattice has
+1 - ``whole`` of a class's words; the rest goes to one more arc from start to end of
+each word, weighed by the word's share of the class's training words, so that what
+is gathered grows with the corpus.  One formula holds for every word, however
+often it was seen.  A document's probability is the sum over classes of the
+class's share times the product of its words and its end.  Pieces that begin a
+word sum to one, those within it too, each piece either ends the word or goes on,
+and arcs, lattice and end sum to one: the whole is a proper distribution.
 
 Counts, the base score and the expectation steps cover all training rows.
 Frequent words, ``frequent`` of them at most, travel with the tasks; all others
@@ -41,8 +43,8 @@ LOG10 = math.log(10)
 LONG_WORD = 200
 #: Words whose lattices are summed together.
 WORDS_AT_ONCE = 8000
-#: Least that an arc of a word gives to the lattice, in tokens.
-LEAST_DISCOUNT = 0.05
+#: Share of pieces that end a word, before any is counted.
+START_END = 1 / 3
 
 
 def words_of(text: str) -> list[bytes]:
@@ -51,7 +53,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Pieces:
-    """A sentencepiece vocabulary for lower-case words: pieces that begin a word, pieces within it, bytes, the stop."""
+    """A sentencepiece vocabulary for lower-case words: pieces that begin a word, pieces within it, bytes."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -65,19 +67,23 @@ class Pieces:
         self.first = {p: n for n, p in enumerate(first)}
         self.inner = {p: n for n, p in enumerate(inner, len(first))}
         self.byte = len(rank)  # the piece of byte 0
-        self.stop = self.byte + 256
-        self.size = self.stop + 1
+        self.size = self.byte + 256
         self.split = len(first)
         #: Pieces, and with -1 what only begins some: a walk from a place stops where nothing goes on.
         self.walk_first, self.walk_inner = ({q: -1 for p in own for q in (p[:n] for n in range(1, len(p)))} | own for own in (self.first, self.inner))
         #: Scores of this vocabulary are ranks: a piece's probability falls with its rank, bytes come last.
-        start = 1 / (np.array([rank[p] for p in first + inner] + [10.0 * len(rank)] * 256 + [0.0]) + 10)
-        start[self.stop] = start[self.split :].sum() / 2
-        self.start = self.normalised(start)
+        self.start = self.normalised(1 / (np.array([rank[p] for p in first + inner] + [10.0 * len(rank)] * 256) + 10))
 
     def normalised(self, weights: np.ndarray) -> np.ndarray:
         return np.concatenate([x / x.sum() for x in (weights[: self.split], weights[self.split :])])
 
+    def scores(self, pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Natural logs of pieces where they go on, then of pieces where they end the word."""
+        return np.concatenate([np.log(pieces) + np.log1p(-ends), np.log(pieces) + np.log(ends)])
+
+    def first_scores(self) -> np.ndarray:
+        return self.scores(self.start, np.full(self.size, START_END))
+
     def lattice(self, words: list[str]) -> Arcs:
         """The lattices of words, marked: all their arcs as arrays, by end, then word, then start.
 
@@ -109,20 +115,20 @@ class Pieces:
         word, start, end, piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
         order = np.lexsort((word, end))
         spellings = [[byte + b for b in c.encode()] for c in spelt]
-        return Arcs(word[order], start[order], end[order], piece[order], np.array([len(w) + 1 for w in words]), spellings)
+        word, start, end, piece, sizes = word[order], start[order], end[order], piece[order], np.array([len(w) + 1 for w in words])
+        return Arcs(word, start, end, piece + (end == sizes[word]) * (self.size + len(spellings)), sizes, spellings)
 
     def log_probability(self, words: list[str], scores: np.ndarray) -> np.ndarray:
         """Natural logs of words' probabilities by each of the classes' scores, which are columns."""
         if not words:
             return np.zeros((0, scores.shape[1]))
         arcs = self.lattice(words)
-        a = arcs.forward(arcs.spelt(scores))
-        return a[arcs.last] + scores[self.stop]
+        return arcs.forward(arcs.spelt(scores, self.size))[arcs.last]
 
     def expect(self, words: list[str], weights: np.ndarray, score: np.ndarray) -> np.ndarray:
-        """Expected counts of pieces over words with their weights."""
+        """Expected counts of pieces that go on, then of pieces that end the word, over words with their weights."""
         arcs = self.lattice(words)
-        score = arcs.spelt(score[:, None])
+        score = arcs.spelt(score[:, None], self.size)
         a = arcs.forward(score)[:, 0]
         share = np.zeros_like(a)  # of all segmentations, those that pass a place
         share[arcs.last] = weights
@@ -131,14 +137,19 @@ class Pieces:
             got[lo:hi] *= share[arcs.to[lo:hi]]
             np.add.at(share, arcs.from_[lo:hi], got[lo:hi])
         counts = np.bincount(arcs.piece, weights=got, minlength=len(score))
+        width = len(score) // 2
+        goes, ends = counts[: self.size].copy(), counts[width : width + self.size].copy()
         for k, spelling in enumerate(arcs.spellings, self.size):
-            np.add.at(counts, spelling, counts[k])
-        counts[self.stop] += weights.sum()
-        return counts[: self.size]
+            np.add.at(goes, spelling[:-1], counts[k] + counts[width + k])
+            goes[spelling[-1]] += counts[k]
+            ends[spelling[-1]] += counts[width + k]
+        return np.concatenate([goes, ends])
 
-    def learnt(self, counts: np.ndarray, prior: float = 100.0) -> np.ndarray:
-        """Natural log probabilities from expected counts, the start weighing as ``prior`` of them."""
-        return np.log(self.normalised(counts + prior * self.start))
+    def learnt(self, counts: np.ndarray, prior: float = 100.0, prior_end: float = 1.0) -> np.ndarray:
+        """Scores from expected counts, the start weighing as ``prior`` of them and each piece's end as ``prior_end``."""
+        goes, ends = counts[: self.size], counts[self.size :]
+        mean = (ends.sum() + START_END) / (counts.sum() + 1)
+        return self.scores(self.normalised(goes + ends + prior * self.start), (ends + prior_end * mean) / (goes + ends + prior_end))
 
 
 class Arcs:
@@ -151,9 +162,12 @@ class Arcs:
         cuts = np.flatnonzero(np.diff(end)) + 1
         self.levels = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(end)]))
 
-    def spelt(self, scores: np.ndarray) -> np.ndarray:
-        """scores with a row for each spelt character."""
-        return np.concatenate([scores, *[scores[s].sum(axis=0, keepdims=True) for s in self.spellings]])
+    def spelt(self, scores: np.ndarray, size: int) -> np.ndarray:
+        """scores of pieces that go on and that end, each with a row for each spelt character: only its last byte may end the word."""
+        goes, ends = scores[:size], scores[size:]
+        on = [goes[s].sum(axis=0, keepdims=True) for s in self.spellings]
+        off = [goes[s[:-1]].sum(axis=0, keepdims=True) + ends[s[-1:]] for s in self.spellings]
+        return np.concatenate([goes, *on, ends, *off])
 
     def forward(self, scores: np.ndarray) -> np.ndarray:
         """Natural logs of the probability of all ways to each place, by class: all words' places of one distance at once."""
@@ -223,9 +237,9 @@ def expected(words: DataFrame, model: str, scores: dict[str, np.ndarray]) -> Dat
 def fit(weighed: DataFrame, classes: list[str], model: str, rounds: int = 3) -> dict[str, np.ndarray]:
     """Scores of each class: ``rounds`` steps and a last one, each over all its words."""
     pieces = pieces_for(model)
-    scores = {k: np.log(pieces.start) for k in classes}
+    scores = {k: pieces.first_scores() for k in classes}
     for _ in range(rounds + 1):
-        got = {k: np.zeros(pieces.size) for k in classes}
+        got = {k: np.zeros(2 * pieces.size) for k in classes}
         for r in expected(weighed, model, scores).collect():  # classes times the vocabulary at most
             got[r["class"]][r["piece"]] = r["c"]
         scores = {k: pieces.learnt(got[k]) for k in classes}
@@ -248,11 +262,12 @@ def most_frequent(totals: DataFrame, most: int) -> DataFrame:
     return short.where(F.lit(False) if least is None else F.col("level") >= least).drop("level")
 
 
-def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int = 8) -> DataFrame:
+def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int = 8, whole: float = 0.5) -> DataFrame:
     """docs (doc_id, text, held_out, class) to counts, base score and the lattice's score.
 
     The classes with most training texts, ``max_classes`` at most, have a set of
-    scores each; the others share one.
+    scores each; the others share one.  ``whole`` is the share of the words'
+    probability that arcs of whole words have.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", text_of().alias("text"), "held_out", F.coalesce("class", F.lit("")).alias("class"))
@@ -263,22 +278,19 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     texts = {r["class"]: r["c"] for r in counts.where(F.col("word").isNull()).collect()}
     counts = counts.where(F.col("word").isNotNull())
     totals = written(counts.groupBy("word").agg(F.sum("c").alias("c")), "word-totals")
-    size = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
-    # absolute discounting: the words seen once and twice tell how much of what comes is new
-    discount = max(LEAST_DISCOUNT, size["once"] / max(1, size["once"] + 2 * size["twice"]))
+    size = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_ends = sum(texts.values())
     n, v = size["n"] + n_ends, size["v"] + (n_ends > 0)
     floor = math.log10(n + 0.5 * (v + 1))
-    weighed = written(counts.withColumn("weight", F.lit(float(discount))), "weighed-words")
     classes = sorted(texts) or [""]
-    scores = fit(weighed, classes, model)
-    sums = {r["class"]: r for r in weighed.groupBy("class").agg(F.sum("c").alias("c"), F.sum("weight").alias("w")).collect()}
-    tokens = {k: texts.get(k, 1) + (sums[k]["c"] if k in sums else 1) for k in classes}
+    scores = fit(counts.withColumn("weight", F.col("c").cast("double")), classes, model)
+    words = {r["class"]: r["c"] for r in counts.groupBy("class").agg(F.sum("c").alias("c")).collect()}
+    tokens = {k: texts.get(k, 1) + words.get(k, 1) for k in classes}
     arcs = {k: math.log(tokens[k]) for k in classes}
-    rest = [math.log((sums[k]["w"] if k in sums else 1) / tokens[k]) for k in classes]
+    rest = [math.log((1 - whole) * words.get(k, 1) / tokens[k]) for k in classes]
     lattice = Lattice(model, np.stack([scores[k] for k in classes], axis=1), rest, floor)
-    pivot = [F.sum(F.when(F.col("class") == k, F.greatest(F.col("c") - discount, F.lit(0.0)) / tokens[k])).alias(f"arc{i}") for i, k in enumerate(classes)]
-    known = written(weighed.groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs")), "known-words")
+    pivot = [F.sum(F.when(F.col("class") == k, F.col("c") * (whole / tokens[k]))).alias(f"arc{i}") for i, k in enumerate(classes)]
+    known = written(counts.groupBy("word").agg(F.sum("c").alias("c"), F.array(*[F.coalesce(x, F.lit(0.0)) for x in pivot]).alias("arcs")), "known-words")
     table = lattice.look(most_frequent(known, frequent)).toArrow()
     index = {w: i for i, w in enumerate(table["word"].to_pylist())}
     values = np.array(table["sums"].to_pylist(), dtype=float).reshape(len(index), 1 + len(classes))
@@ -364,6 +376,6 @@ def first_sums(docs: DataFrame, index: dict[bytes, int], values: np.ndarray) ->
     return map_batches(docs, make, "key binary, word binary, tf long, n_words long, n_known long, sums array<double>")
 
 
-def op9_lattice_score(spark, sf_dir: str, model: str = "piece_bpe_32k.model") -> DataFrame:
+def op9_lattice_score(spark, sf_dir: str, model: str = "piece_bpe_32k.model", whole: float = 0.3) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs.select("doc_id", "text", (fold() == 1).alias("held_out"), F.col("lang").alias("class")), model)
+    return score(docs.select("doc_id", "text", (fold() == 1).alias("held_out"), F.col("lang").alias("class")), model, whole=whole)

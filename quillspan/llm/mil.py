@@ -7,12 +7,13 @@ sigmoid, softmax over the bag) weighs the passages.  The weighted representation
 gives the score.  Only the bag's label is known in training; attention learns
 which passages tell it.
 
-Training takes ``max_train`` labelled texts at most, those of least hash, on the
-driver; scoring reads every whole text, in Arrow batches, and holds one batch.
+Training takes ``max_train`` labelled texts at most, those of least hash, and of
+these no more than have ``max_bytes`` together, on the driver; scoring reads every whole text, in Arrow batches, and holds one batch.
 
 Defined results: a null or empty text is one passage of zeros and gets a score;
 rows without a label aren't trained on; labels that are null count as missing; an
-id labelled twice counts once, by its least label; without both labels in
+id labelled twice counts once, by its least label, and one with several rows by
+its least text; without both labels in
 training, the score is the share of label 1, or 0.5 without any; repeated rows
 get equal scores; columns besides id and text are no input of the score.
 """
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, fold, map_batches, text_of
+from .common import claim, fold, map_batches, text_of, written
 
 PASSAGE_WORDS = 100
 #: Characters up to here have a kind each or share one; all others share kinds by class.
@@ -161,16 +162,25 @@ class Model:
         return {"w": ((x - self.mean) / self.scale).T @ pre, "b": pre.sum(axis=0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dy, "d": np.array([dy.sum()])}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, max_bytes: int = 64_000_000) -> Model:
     """docs (doc_id, text) and labels (doc_id, label): a model from rows whose fold isn't 0.
 
-    ``max_train`` bounds what the driver holds: the passages' features of the
-    texts of so many labelled ids, those of least hash.  They meet their texts by a
-    broadcast of these ids.
+    ``max_train`` and ``max_bytes`` bound what the driver holds: the passages'
+    features, of about as many bytes as the texts, of so many labelled ids, those of
+    least hash.  They meet their texts by a broadcast of these ids.
     """
     label = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = label.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).orderBy("h").limit(max_train)
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("h", "label", "text")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = written(rows.groupBy("h", "label").agg(F.min("text").alias("text")), "training")  # an id may have several rows
+    sizes, taken, total = sorted((r["h"], r["n"]) for r in rows.select("h", F.octet_length("text").alias("n")).collect()), [], 0  # max_train rows
+    for h, n in sizes:
+        total += n
+        if total > max_bytes:
+            break
+        taken.append(h)
+    if len(taken) < len(sizes):
+        rows = rows.where(F.col("h") <= taken[-1]) if taken else rows.limit(0)
 
     def make():
         claim("passages")
@@ -180,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
 
         return run
 
-    got = sorted(map_batches(rows, make, "h long, label int, x binary").collect(), key=lambda r: (r["h"], r["x"]))[:max_train]  # an id may have several rows
+    got = sorted(map_batches(rows, make, "h long, label int, x binary").collect(), key=lambda r: (r["h"], r["x"]))
     bags = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
     return Model().fit(bags, np.array([r["label"] for r in got], dtype=float))
 
@@ -188,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000) -> Model:
 def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
     """docs with a score under that name; columns in ``keep`` stay."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{k}`") for k in keep], text_of().alias("_scored_text"))
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], text_of().alias("__scored_text"))
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
 
     def make():
@@ -196,7 +206,7 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
         model = shared.value
 
         def run(cols):
-            scores, texts = [], cols["_scored_text"]
+            scores, texts = [], cols["__scored_text"]
             for at in range(0, len(texts), 100):
                 scores += model.score([passages(t) for t in texts[at : at + 100]]).tolist()
             return {k: cols[k] for k in keep} | {name: scores}

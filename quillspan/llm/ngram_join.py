@@ -41,6 +41,8 @@ BLOCK, BLOCK_BYTES = 1000, 16_000_000
 #: Signatures that agree in a share lower than the threshold by this much don't lead to a pair of sets.
 SLACK = 0.2
 COLUMNS = 4096
+#: A name that no table has.
+OWN = "__ngram_join_key"
 
 
 def bands_for(threshold: float, recall: float = 0.999, most: int = 128) -> tuple[int, int]:
@@ -412,9 +414,9 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFram
     rows, classes = similar(docs, threshold, n)
     rows = rows.join(classes.select(F.col("v").alias("set_key"), "root"), "set_key")
     stay = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("s"))
-    stay = stay.select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_key"))
-    kept = docs.withColumn("_key", text_key(text_of())).join(stay, "_key").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    stay = stay.select(F.col("s.doc_id").alias(f"{OWN}_id"), F.col("s.text_key").alias(OWN))
+    kept = docs.withColumn(OWN, text_key(text_of())).join(stay, OWN).where(F.col("doc_id").eqNullSafe(F.col(f"{OWN}_id")))
+    return kept.dropDuplicates([OWN]).select(*docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir: str, threshold: float = 0.8, n: int = 5) -> DataFrame:

@@ -165,10 +165,18 @@ class Sound:
 
 
 def decode(media: bytes) -> Sound:
+    if media is None:
+        raise OggError("no media")
     streams = read(media)
     by_kind = {s.packets[0][:8]: s for s in streams}
-    pcm, index = by_kind[b"PCM     "], by_kind[b"index   "]
+    pcm, index = by_kind.get(b"PCM     "), by_kind.get(b"index   ")
+    if pcm is None or index is None:
+        raise OggError("a stream of samples or their index is missing")
+    if len(pcm.packets) < 3 or len(pcm.packets[0]) < 20 or len(index.packets) < 2 or len(index.packets[1]) != 16:
+        raise OggError("a header is cut off")
     rate = struct.unpack_from(">I", pcm.packets[0], 16)[0]
+    if not rate:
+        raise OggError("no sample rate")
     data = pcm.packets[2:]
     samples = b"".join(data)
     n_bytes, n_samples = struct.unpack("<QQ", index.packets[1])

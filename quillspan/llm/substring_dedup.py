@@ -148,7 +148,7 @@ def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     firsts = found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
     firsts = written(firsts, "repeated-runs")  # as a table of its own, so that Spark may split the join at a very frequent run
     others = found.join(firsts, ["a", "b"]).where(F.col("again") | ~F.col("doc").eqNullSafe(F.col("least")))
-    return others.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_set(F.struct("first", "n")).alias("_spans"))
+    return others.groupBy(F.col("doc").alias("__sub_doc"), F.col("key").alias("__sub_key")).agg(F.collect_set(F.struct("first", "n")).alias("__sub_spans"))
 
 
 def cut(text: str, found: list) -> tuple[str, int, int]:
@@ -168,28 +168,28 @@ def cut(text: str, found: list) -> tuple[str, int, int]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_sentences: str | None = None, n_removed: str | None = None) -> DataFrame:
     """docs with the sentences of repeated runs taken out; optional columns with the sentences before, and those removed."""
     found = repeated(docs, id_col, text_col)
-    joined = docs.withColumn("_own", text_hash(text_of(text_col))).join(found, (F.col("_own") == F.col("_key")) & F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    joined = docs.withColumn("__sub_own", text_hash(text_of(text_col))).join(found, (F.col("__sub_own") == F.col("__sub_key")) & F.col(id_col).eqNullSafe(F.col("__sub_doc")), "left")
     columns = [f for f in docs.schema.fields if f.name != text_col]
-    rows = joined.select(*[F.col(f"`{f.name}`") for f in columns], F.col(text_col).alias("_text"), "_spans")
+    rows = joined.select(*[F.col(f"`{f.name}`") for f in columns], F.col(text_col).alias("__sub_text"), "__sub_spans")
 
     def make():
         own_words()
 
         def run(cols):
             texts, n, m = [], [], []
-            for text, spans in zip(cols["_text"], cols["_spans"]):
+            for text, spans in zip(cols["__sub_text"], cols["__sub_spans"]):
                 left, own, gone = cut(text or "", spans)
                 texts.append(left if gone else text)
                 n.append(own)
                 m.append(gone)
-            return {f.name: cols[f.name] for f in columns} | {"_text": texts, "_n": n, "_m": m}
+            return {f.name: cols[f.name] for f in columns} | {"__sub_text": texts, "__sub_n": n, "__sub_m": m}
 
         return run
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["_text string, _n long, _m long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in columns] + ["__sub_text string, __sub_n long, __sub_m long"])
     out = map_batches(rows, make, schema)
-    extra = [(n_sentences, "_n"), (n_removed, "_m")]
-    return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(name) for name, c in extra if name])
+    extra = [(n_sentences, "__sub_n"), (n_removed, "__sub_m")]
+    return out.select(*[F.col("__sub_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *[F.col(c).alias(name) for name, c in extra if name])
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -41,22 +41,26 @@ def pieces():
 @pytest.mark.parametrize("word", ["the", "a", "there,", "größe", "x中y", "▁▁", "q🙂", "", "banana"])
 def test_lattice_sums_over_all_segmentations(pieces, word):
     r = np.random.default_rng(2)
-    scores = np.log(np.stack([pieces.normalised(r.random(pieces.size)) for _ in range(2)], axis=1))
+    scores = np.stack([pieces.scores(pieces.normalised(r.random(pieces.size)), r.random(pieces.size)) for _ in range(2)], axis=1)
     got = pieces.log_probability([word, "other"], scores)[0]
     for k in range(2):
-        each = [math.exp(sum(scores[x, k] for x in w)) for w in ways(pieces, word)]
-        assert got[k] == pytest.approx(math.log(sum(each)) + scores[pieces.stop, k], rel=1e-9)
+        assert got[k] == pytest.approx(math.log(sum(way_p(pieces, scores[:, k], w) for w in ways(pieces, word))), rel=1e-9)
     counts = pieces.expect([word, "the"], np.array([3.0, 0.5]), scores[:, 0])
-    expected = np.zeros(pieces.size)
+    expected = np.zeros(2 * pieces.size)
     for w, c in ((word, 3.0), ("the", 0.5)):
         own = ways(pieces, w)
-        each = np.array([math.exp(sum(scores[x, 0] for x in s)) for s in own])
+        each = np.array([way_p(pieces, scores[:, 0], s) for s in own])
         for s, share in zip(own, each / each.sum()):
-            np.add.at(expected, s, c * share)
-        expected[pieces.stop] += c
+            np.add.at(expected, s[:-1], c * share)
+            expected[pieces.size + s[-1]] += c * share
     assert np.allclose(counts, expected, atol=1e-9)
 
 
+def way_p(pieces, scores, way):
+    """Probability of one segmentation: pieces that go on, and the last one that ends the word."""
+    return math.exp(sum(scores[x] for x in way[:-1]) + scores[pieces.size + way[-1]])
+
+
 def test_start_is_a_distribution(pieces):
     assert pieces.start[: pieces.split].sum() == pytest.approx(1) and pieces.start[pieces.split :].sum() == pytest.approx(1)
 
@@ -87,7 +91,7 @@ def test_score_query(spark):
             assert x.base_score == pytest.approx(sum(base(counts.get(u, 0)) for u in w) + base(ends), rel=1e-9)
             assert x.score < 0 and math.isfinite(x.score)
         held = [x for x in got if x.held_out and x.n_tokens > 5]
-        # classes differ in their words, and each has arcs for all of them
+        # classes differ in their words
         assert frequent == 20 or sum(x.score for x in held) > sum(x.base_score for x in held)
     assert lattice.score(docs.limit(0), MODEL).count() == 0
     untrained = lattice.score(docs.withColumn("held_out", F.lit(True)), MODEL).collect()
@@ -104,9 +108,9 @@ def test_words_that_do_not_travel_have_arcs_too(spark):
 
 
 def test_probabilities_of_all_short_words_stay_below_one(pieces):
-    scores = pieces.start[:, None]
+    scores = pieces.first_scores()[:, None]
     words = [a + b for a in ["", *"abcdefghijklmnopqrstuvwxyz"] for b in "abcdefghijklmnopqrstuvwxyz"]
-    assert np.exp(pieces.log_probability(words, np.log(scores))).sum() < 1
+    assert 0.01 < np.exp(pieces.log_probability(words, scores)).sum() < 1
 
 
 def test_gradients():
@@ -337,3 +341,92 @@ def test_a_very_long_page(spark):
     long = "".join(f"<p>paragraph {i} of this page.</p><h2>head {i}</h2>" for i in range(3000)) + "<ul>" + "<li>item" * 20_000 + "</ul>"
     got = text_of(spark, [("http://h/", f"<article>{long}</article>"), ("http://h/2", "<article><p>short one.</p></article>")])
     assert got[0].split()[:5] == ["paragraph", "0", "of", "this", "page."] and got[0].count("item") == 20_000 and got[1] == "short one."
+
+
+def plain_lattice(pieces, docs, lattice_share):
+    """Each text's log10 probability from all segmentations, one by one: (text, held out, class) rows."""
+    counts, texts = {}, {}
+    for t, held, k in docs:
+        if not held:
+            texts[k] = texts.get(k, 0) + 1
+            for w in t.lower().split():
+                counts.setdefault(k, {})[w] = counts.setdefault(k, {}).get(w, 0) + 1
+    own_ways = {}
+
+    def of(w):
+        if w not in own_ways:
+            own_ways[w] = ways(pieces, w)
+        return own_ways[w]
+
+    scores = {}
+    for k in texts:
+        s = pieces.first_scores()
+        for _ in range(4):
+            got = np.zeros(2 * pieces.size)
+            for w, c in counts.get(k, {}).items():
+                each = np.array([way_p(pieces, s, way) for way in of(w)])
+                for way, share in zip(of(w), each / each.sum()):
+                    np.add.at(got, way[:-1], c * share)
+                    got[pieces.size + way[-1]] += c * share
+            s = pieces.learnt(got)
+        scores[k] = s
+
+    def word(w, k):
+        n = sum(counts.get(k, {}).values())
+        lattice = sum(way_p(pieces, scores[k], way) for way in of(w))
+        return ((1 - lattice_share) * n * lattice + lattice_share * counts[k].get(w, 0)) / (texts[k] + n)
+
+    ends = sum(texts.values())
+    end = {k: texts[k] / (texts[k] + sum(counts.get(k, {}).values())) for k in texts}
+    out = [math.log10(sum(texts[k] / ends * math.prod(word(w, k) for w in t.lower().split()) * end[k] for k in texts)) for t, _, _ in docs]
+    return out, word, end, counts
+
+
+@pytest.mark.parametrize("whole", [0.5, 0.3])
+def test_scores_are_those_of_all_segmentations(spark, pieces, whole):
+    r = random.Random(12)
+    stems = ["ab", "the", "ing", "go", "é", "xz"]
+    texts = [(i, " ".join(r.choice(stems) + r.choice(["", "s", "er"]) for _ in range(r.randrange(1, 7))), r.choice("uv")) for i in range(60)] + [(900, "unseen abs", "u"), (901, "", "v")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, class string").withColumn("held_out", fold() == 1).withColumns({c: F.lit("clash") for c in ("key", "word", "c", "n_words")})
+    rows = docs.select("doc_id", "text", "held_out", "class").collect()
+    expected, word, end, counts = plain_lattice(pieces, [(x.text, x.held_out, x["class"]) for x in rows], whole)
+    got = {x.doc_id: x.score for x in lattice.score(docs, MODEL, frequent=5, whole=whole).collect()}
+    assert [got[x.doc_id] for x in rows] == pytest.approx(expected, rel=1e-9)
+    short = {a + b for a in ["", *"abcdefghijklmnopqrstuvwxyzé"] for b in "abcdefghijklmnopqrstuvwxyzé"}
+    for k in counts:
+        total = end[k] + sum(word(w, k) for w in short | set(counts[k]))
+        assert 0.3 < total <= 1 + 1e-9
+
+
+def test_attention_by_hand():
+    """A bag's score by loops, from the definition of gated attention."""
+    r = np.random.default_rng(5)
+    m = mil.Model()
+    m.fitted = True
+    m.mean, m.scale = r.normal(size=mil.N_FEATURES), r.random(mil.N_FEATURES) + 0.5
+    bags = [r.normal(size=(n, mil.N_FEATURES)).astype(np.float32) for n in (1, 3, 5)]
+    p, got = m.p, m.score(bags)
+    for bag, y in zip(bags, got):
+        hs = [np.tanh(((x - m.mean) / m.scale) @ p["w"] + p["b"]) for x in bag]
+        es = [sum(math.tanh(float(h @ p["v"][:, i])) / (1 + math.exp(-float(h @ p["u"][:, i]))) * p["a"][i] for i in range(mil.GATE)) for h in hs]
+        weights = [math.exp(e) / sum(map(math.exp, es)) for e in es]
+        z = sum(w * h for w, h in zip(weights, hs))
+        assert y == pytest.approx(1 / (1 + math.exp(-(float(z @ p["c"]) + p["d"][0]))), rel=1e-6)
+
+
+def test_training_is_bounded(spark):
+    """An id of many rows counts once, and texts beyond the bytes that the driver holds aren't taken."""
+    rows = [(1, f"text number {i} of one id") for i in range(500)] + [(i, f"good words here {i}" if i % 2 else f"bad %%% words {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, label int")
+    held = []
+    plain = mil.Model.fit
+    mil.Model.fit = lambda self, bags, y: held.append(len(bags)) or plain(self, bags, y, epochs=1)
+    try:
+        mil.train(docs, labels)
+        mil.train(docs, labels, max_bytes=100)
+        mil.train(docs, labels, max_train=7)
+    finally:
+        mil.Model.fit = plain
+    n = len({i for i in range(1, 40)}) - labels.where(fold() == 0).count()
+    assert held[0] == n and 1 <= held[1] <= 100 // 15 and held[2] == 7

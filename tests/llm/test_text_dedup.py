@@ -222,7 +222,7 @@ def test_alignment():
 @pytest.mark.parametrize("block_bytes", [10**7, 600])
 def test_leaks(spark, block_bytes):
     r = random.Random(6)
-    items = [(i, " ".join(words(r, r.randrange(15, 50)))) for i in range(30)] + [(99, "too short"), (98, None), (97, "")]
+    items = [(i, " ".join(words(r, r.randrange(15, 50)))) for i in range(30)] + [(99, "too short"), (96, "lonely"), (98, None), (97, "")]
     rows, planted = [], set()
     for i in range(200):
         w = words(r, r.randrange(0, 200))
@@ -236,18 +236,21 @@ def test_leaks(spark, block_bytes):
             w[at:at] = copy
             planted.add((i, k))
         rows.append((i, " ".join(w)))
-    rows += [(500, None), (501, ""), (None, items[3][1])]
-    planted.add((None, 3))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
+    rows += [(500, None), (501, ""), (None, items[3][1]), (502, "it is Too short, really"), (503, "too very short"), (504, "a lonely word")]
+    planted |= {(None, 3)}
+    brief = {(502, 99), (504, 96)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(0) for c in ("item_id", "_key", "_id", "text_key", "score")})
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = dc.find_leaks(docs, bench, block_bytes=block_bytes).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == planted
-    texts = dict(rows)
+    assert {(x.doc_id, x.item_id) for x in got} == planted | brief
+    texts, long = dict(rows), dict(items)
     for x in got:
         if x.doc_id is not None:
+            item = long[x.item_id]
             part = " ".join(texts[x.doc_id].split()[x.first_word : x.first_word + x.n_words])
-            assert plain_sw(dc.word_hashes(items[x.item_id][1]), dc.word_hashes(part)) / (2 * len(items[x.item_id][1].split())) == x.score
+            assert plain_sw(dc.word_hashes(item), dc.word_hashes(part)) / (2 * len(item.split())) == x.score
     kept = dc.drop_leaks(docs, bench)
+    # a word or two of an item are no reason to drop a text
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {i for i, _ in rows} - {i for i, _ in planted}
     assert dc.find_leaks(docs.limit(0), bench).count() == 0 and dc.find_leaks(docs, bench.limit(0)).count() == 0
 
@@ -328,3 +331,22 @@ def test_very_long_texts_make_blocks_of_few(spark, monkeypatch):
     rows = [(i, " ".join([*long, f"end{i}"])) for i in range(4)] + [(9, "short one")]
     got = {x.doc_id: (x.class_id, x.n_links) for x in ngram_join.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (0, 3), 1: (0, 3), 2: (0, 3), 3: (0, 3), 9: (9, 0)}
+
+
+def test_very_long_texts(spark):
+    """A text of a million words goes through each removal whole."""
+    r = random.Random(31)
+    pool = words(r, 5000, 10**6)
+    sentences = [" ".join(r.choices(pool, k=20)) + "." for _ in range(50_000)]
+    passage, item = " ".join(" ".join(words(r, 12)) + "." for _ in range(6)), " ".join(words(r, 30))
+    long = "\n".join([*sentences[:25_000], "all sites have this line", passage, item, *sentences[25_000:]])
+    rows = [(1, long, "s0", "en", 0)] + [(10 + i, f"own text {i}\nall sites have this line", f"s{i}", "en", 0) for i in range(12)] + [(90, passage, "s1", "en", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("_bad", "_page", "_kept", "_text", "_spans", "_own", "_key", "_id", "_scored_text")})
+    lines = {x.doc_id: x for x in line_dedup.remove_boilerplate(docs, "source", 10).collect()}
+    assert lines[1].text == long.replace("all sites have this line\n", "") and lines[10].text == "own text 0"
+    cut = {x.doc_id: x.text for x in sd.remove_repeats(docs).collect()}
+    assert cut[1] == long and passage[100:300] not in cut[90]
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [(x.doc_id, x.item_id, x.score) for x in dc.find_leaks(docs, bench).collect()] == [(1, 5, 1.0)]
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and {1, 90} <= {x.doc_id for x in kept.collect()}

@@ -98,3 +98,43 @@ def test_counts_and_cache(spark, tmp_path, monkeypatch):
     assert token_counts.token_counts(more, "byte_bpe_50k.json", path).count() == 2
     assert token_counts.read_cache(spark, path).count() == 6
     assert token_counts.token_counts(docs.limit(0), "byte_bpe_50k.json", str(tmp_path / "none")).count() == 0
+
+
+def test_counts_at_the_limit(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [(n, "a" + " b" * (n - 1)) for n in (1, 1023, 1024, 1025)] + [(7, "long text of words, " * 60_000)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in token_counts.op10_token_counts(spark, str(tmp_path)).collect()}
+    for i, t in texts:
+        n = len(tok.encode(t, add_special_tokens=False).ids)
+        assert (got[i].n_tokens, got[i].over_limit, got[i].n_bytes) == (n, n > 1024, len(t)) and (i == 7 or n == i)
+
+
+def test_contents_are_normalised_as_the_tokenizer_does(spark, tmp_path):
+    """Texts that its normaliser makes equal share an entry; special strings in other letters don't become special."""
+    from tokenizers import Tokenizer
+
+    name, path = "word_bpe_49k.json", str(tmp_path / "cache")
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    special = next(iter(tok.get_added_tokens_decoder().values())).content
+    texts = ["Some Words", "some  words", "SOME\nwords", "caf\u00e9", "cafe\u0301", f"x{special}y", f"x{special.upper()}y", f"X{special}Y"]
+    content = token_counts.content_of(name)
+    for a in texts:
+        for b in texts:
+            if content(a) == content(b):
+                assert len(tok.encode(a, add_special_tokens=False).ids) == len(tok.encode(b, add_special_tokens=False).ids)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # counts of the chunked encoder are for byte level; the key is what is looked at here
+    keys = {r.doc_id: bytes(r.digest) for r in token_counts.with_digest(docs, name).collect()}
+    assert keys[0] == keys[1] == keys[2] and keys[3] == keys[4] and keys[5] == keys[7] != keys[6]
+    assert token_counts.content_of("byte_bpe_50k.json") is None and path
+
+
+def test_very_long_and_odd_rows_are_packed(spark):
+    texts = [(1, "word " * 300_000), (2, ""), (2, ""), (None, "x"), (3, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("piece", "start", "length", "offset")})
+    got = packing.pack(docs, "word_bpe_49k.json", 4096, 1).collect()
+    own = sorted((r.start, r.length) for r in got if r.doc_id == 1)
+    assert len(own) > 70 and all(n == 4096 for _, n in own[:-1]) and len([r for r in got if r.doc_id == 2]) == 2
