@@ -35,8 +35,9 @@ def line_key(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, site_col: str, min_sites: int, margin: float = 0.15, lg_k: int = 12) -> tuple[DataFrame, DataFrame]:
     """(line, page) rows of lines that may be boilerplate, and the lines (line, n_sites) that are."""
-    pages = docs.select(text_of().alias("text"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"))
-    lines = pages.select(text_key(F.col("text")).alias("page"), "site", F.explode(F.split("text", "\n")).alias("raw")).where(normal(F.col("raw")) != "")
+    # a page's key is found before its lines are rows, which would each find it again from the whole text
+    pages = docs.select(text_key(text_of()).alias("page"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.split(text_of(), "\n").alias("parts"))
+    lines = pages.select("page", "site", F.explode("parts").alias("raw")).where(normal(F.col("raw")) != "")
     lines = lines.select("page", "site", line_key(F.col("raw")).alias("line"))
     # partial aggregation and two keys spread a line that is on every page over all tasks
     pages_of = written(lines.groupBy("line", "page").agg(F.min("site").alias("site")), "lines")
@@ -54,17 +55,17 @@ def boilerplate(docs: DataFrame, site_col: str, min_sites: int, margin: float =
 def remove_boilerplate(docs: DataFrame, site_col: str = "source", min_sites: int = 10, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
     """docs with boilerplate lines taken out of text; optional columns with the lines before, and those removed."""
     rows, lines = boilerplate(docs, site_col, min_sites)
-    by_page = rows.join(if_small(lines.select("line")), "line").groupBy("page").agg(F.collect_set("line").alias("_bad"))
-    joined = docs.withColumn("_page", text_key(text_of())).join(by_page.withColumnRenamed("page", "_page"), "_page", "left")
+    by_page = rows.join(if_small(lines.select("line")), "line").groupBy("page").agg(F.collect_set("line").alias("__line_bad"))
+    joined = docs.withColumn("__line_page", text_key(text_of())).join(by_page.withColumnRenamed("page", "__line_page"), "__line_page", "left")
     parts = F.split(text_of(), "\n")
-    kept = F.filter(parts, lambda x: ~F.array_contains("_bad", line_key(x)))
-    joined = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull(), kept))
-    text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text")
+    kept = F.filter(parts, lambda x: ~F.array_contains("__line_bad", line_key(x)))
+    joined = joined.withColumn("__line_kept", F.when(F.col("__line_bad").isNotNull(), kept))
+    text = F.when(F.col("__line_bad").isNull(), F.col("text")).otherwise(F.array_join("__line_kept", "\n")).alias("text")
     out = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if n_lines:
         out.append(F.size(parts).cast("long").alias(n_lines))
     if n_removed:
-        out.append(F.coalesce(F.size(parts) - F.when(F.col("_bad").isNotNull(), F.size("_kept")), F.lit(0)).cast("long").alias(n_removed))
+        out.append(F.coalesce(F.size(parts) - F.when(F.col("__line_bad").isNotNull(), F.size("__line_kept")), F.lit(0)).cast("long").alias(n_removed))
     return joined.select(*out)
 
 
