@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, claim, if_small, map_batches, text_key, text_of, written
 
 #: Members of a block, and bytes of its n-gram sets; two blocks are compared at once.
-BLOCK, BLOCK_BYTES = 1000, 16_000_000
+BLOCK, BLOCK_BYTES = 500, 8_000_000
 #: Signatures that agree in a share lower than the threshold by this much don't lead to a pair of sets.
 SLACK = 0.2
 COLUMNS = 4096
