@@ -69,8 +69,7 @@ class Pieces:
         self.byte = len(rank)  # the piece of byte 0
         self.size = self.byte + 256
         self.split = len(first)
-        #: Pieces, and with -1 what only begins some: a walk from a place stops where nothing goes on.
-        self.walk_first, self.walk_inner = ({q: -1 for p in own for q in (p[:n] for n in range(1, len(p)))} | own for own in (self.first, self.inner))
+        self.trie = Trie(self.first, self.inner)
         #: Scores of this vocabulary are ranks: a piece's probability falls with its rank, bytes come last.
         self.start = self.normalised(1 / (np.array([rank[p] for p in first + inner] + [10.0 * len(rank)] * 256) + 10))
 
@@ -85,37 +84,23 @@ class Pieces:
         return self.scores(self.start, np.full(self.size, START_END))
 
     def lattice(self, words: list[str]) -> Arcs:
-        """The lattices of words, marked: all their arcs as arrays, by end, then word, then start.
+        """The lattices of words, marked: all their arcs as arrays, by end, then word.
 
         A character that is no piece is its bytes, an arc of a kind of its own.
         """
-        first, inner, byte = self.walk_first, self.walk_inner, self.byte
-        spelt: dict[str, int] = {}
-        word, start, end, piece = [], [], [], []
-        for n, w in enumerate(words):
-            text = MARK + w
-            size = len(text)
-            walk = first
-            for i in range(size):
-                for j in range(i + 1, size + 1):
-                    k = walk.get(text[i:j])
-                    if k is None:
-                        break
-                    if k >= 0:
-                        word.append(n)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(k)
-                if i and text[i] not in self.inner:
-                    word.append(n)
-                    start.append(i)
-                    end.append(i + 1)
-                    piece.append(spelt.setdefault(text[i], self.size + len(spelt)))
-                walk = inner
-        word, start, end, piece = (np.array(x, dtype=np.int64) for x in (word, start, end, piece))
-        order = np.lexsort((word, end))
-        spellings = [[byte + b for b in c.encode()] for c in spelt]
-        word, start, end, piece, sizes = word[order], start[order], end[order], piece[order], np.array([len(w) + 1 for w in words])
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        codes = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        base = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(words)), sizes)
+        at = np.arange(len(codes)) - base[of]
+        begin, length, piece, alone = self.trie.walk(codes, at, sizes[of] - at)
+        spelt, kind = np.unique(codes[alone], return_inverse=True)
+        begin, length, piece = np.concatenate([begin, alone]), np.concatenate([length, np.ones(len(alone), dtype=np.int64)]), np.concatenate([piece, self.size + kind])
+        word, start = of[begin], at[begin]
+        end = start + length
+        order = by_two(end, word)
+        word, start, end, piece = word[order], start[order], end[order], piece[order]
+        spellings = [[self.byte + b for b in chr(c).encode("utf-8", "surrogatepass")] for c in spelt.tolist()]
         return Arcs(word, start, end, piece + (end == sizes[word]) * (self.size + len(spellings)), sizes, spellings)
 
     def log_probability(self, words: list[str], scores: np.ndarray) -> np.ndarray:
@@ -152,6 +137,65 @@ class Pieces:
         return self.scores(self.normalised(goes + ends + prior * self.start), (ends + prior_end * mean) / (goes + ends + prior_end))
 
 
+def by_two(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Order by first, then second; small numbers are sorted by their digits."""
+    if not len(first) or max(first.max(), second.max()) >= 1 << 16:
+        return np.lexsort((second, first))
+    order = np.argsort(second.astype(np.uint16), kind="stable")
+    return order[np.argsort(first[order].astype(np.uint16), kind="stable")]
+
+
+class Trie:
+    """Prefixes of pieces as states; walks from all places of many words go on together, character by character."""
+
+    def __init__(self, first: dict[str, int], inner: dict[str, int]):
+        steps: dict[tuple[int, str], int] = {}
+        piece = [-1, -1]  # of the roots: of pieces that begin a word, and of those within it
+        for root, table in enumerate((first, inner)):
+            for p, n in table.items():
+                state = root
+                for c in p:
+                    if (state, c) not in steps:
+                        steps[state, c] = len(piece)
+                        piece.append(-1)
+                    state = steps[state, c]
+                piece[state] = n
+        keys = np.array([(s << 21) + ord(c) for s, c in steps], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next, self.piece = keys[order], np.array(list(steps.values()), dtype=np.int64)[order], np.array(piece, dtype=np.int64)
+        self.bits = np.zeros(1 << 20, dtype=bool)  # passes over nearly all steps that there aren't
+        self.bits[self.slot(self.keys)] = True
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+    def walk(self, codes: np.ndarray, at: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of every piece at every place, and places within words whose character is no piece."""
+        place, state = np.arange(len(codes)), (at > 0).astype(np.int64)
+        found, alone, length = [], np.zeros(0, dtype=np.int64), 0
+        while place.size:
+            key = (state << 21) + codes[place + length]
+            here = np.flatnonzero(self.bits[self.slot(key)])
+            near = np.minimum(np.searchsorted(self.keys, key[here]), len(self.keys) - 1)
+            same = self.keys[near] == key[here]
+            here, state = here[same], self.next[near[same]]
+            length += 1
+            piece = self.piece[state]
+            if length == 1:
+                single = np.zeros(len(codes), dtype=bool)
+                single[place[here][piece >= 0]] = True
+                alone = np.flatnonzero(~single & (at > 0))
+            place = place[here]
+            own = piece >= 0
+            found.append((place[own], np.full(int(own.sum()), length), piece[own]))
+            on = left[place] > length
+            place, state = place[on], state[on]
+        if not found:
+            return alone, alone, alone, alone
+        return *(np.concatenate(x) for x in zip(*found)), alone
+
+
 class Arcs:
     """Arcs of many words' lattices.  A word's places have numbers after one another, over all words."""
 
