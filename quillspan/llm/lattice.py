@@ -257,34 +257,47 @@ def word_counts(docs: DataFrame, class_col: str = "class") -> DataFrame:
     return got.groupBy("word", "class").agg(F.sum("c").alias("c"))
 
 
+def packed(counts: DataFrame) -> DataFrame:
+    """(word, class, c) as rows of thousands of words each: (class, words parted by spaces, their counts), so that each round reads them at once."""
+
+    def make():
+        def run(cols):
+            by: dict[str, list[int]] = defaultdict(list)
+            for i, k in enumerate(cols["class"]):
+                by[k].append(i)
+            words, c = cols["word"], np.array(cols["c"], dtype=np.float64)
+            for k, own in by.items():
+                yield {"class": [k], "words": [b" ".join([words[i] for i in own])], "weights": [c[own].tobytes()]}
+
+        return run
+
+    return map_batches(counts.select("word", "class", "c"), make, "class string, words binary, weights binary", WORDS_AT_ONCE)
+
+
 def expected(words: DataFrame, model: str, scores: dict[str, np.ndarray]) -> DataFrame:
-    """(class, piece, c): expected counts of pieces over (word, class, weight)."""
+    """(class, piece, c): expected counts of pieces over packed words."""
 
     def make():
         pieces = pieces_for(model)
 
         def run(cols):
-            by: dict[str, list[tuple[str, float]]] = defaultdict(list)
-            for w, k, c in zip(cols["word"], cols["class"], cols["weight"]):
-                by[k].append((w.decode(), c))
-            for k, own in by.items():
-                words, weights = zip(*own)
-                got = pieces.expect(words, np.array(weights), scores[k])
+            for k, words, weights in zip(cols["class"], cols["words"], cols["weights"]):
+                got = pieces.expect(words.decode().split(" "), np.frombuffer(weights), scores[k])
                 at = np.flatnonzero(got)
                 yield {"class": [k] * len(at), "piece": at, "c": got[at]}
 
         return run
 
-    return map_batches(words.select("word", "class", "weight"), make, "class string, piece int, c double", WORDS_AT_ONCE).groupBy("class", "piece").agg(F.sum("c").alias("c"))
+    return map_batches(words, make, "class string, piece int, c double").groupBy("class", "piece").agg(F.sum("c").alias("c"))
 
 
-def fit(weighed: DataFrame, classes: list[str], model: str, rounds: int = 3) -> dict[str, np.ndarray]:
-    """Scores of each class: ``rounds`` steps and a last one, each over all its words."""
+def fit(words: DataFrame, classes: list[str], model: str, rounds: int = 3) -> dict[str, np.ndarray]:
+    """Scores of each class from packed words: ``rounds`` steps and a last one, each over all its words."""
     pieces = pieces_for(model)
     scores = {k: pieces.first_scores() for k in classes}
     for _ in range(rounds + 1):
         got = {k: np.zeros(2 * pieces.size) for k in classes}
-        for r in expected(weighed, model, scores).collect():  # classes times the vocabulary at most
+        for r in expected(words, model, scores).collect():  # classes times the vocabulary at most
             got[r["class"]][r["piece"]] = r["c"]
         scores = {k: pieces.learnt(got[k]) for k in classes}
     return scores
@@ -327,7 +340,7 @@ def score(docs: DataFrame, model: str, frequent: int = 300_000, max_classes: int
     n, v = size["n"] + n_ends, size["v"] + (n_ends > 0)
     floor = math.log10(n + 0.5 * (v + 1))
     classes = sorted(texts) or [""]
-    scores = fit(counts.withColumn("weight", F.col("c").cast("double")), classes, model)
+    scores = fit(written(packed(counts), "packed-words"), classes, model)
     words = {r["class"]: r["c"] for r in counts.groupBy("class").agg(F.sum("c").alias("c")).collect()}
     tokens = {k: texts.get(k, 1) + words.get(k, 1) for k in classes}
     arcs = {k: math.log(tokens[k]) for k in classes}
