@@ -126,9 +126,9 @@ def spans(docs: DataFrame) -> DataFrame:
                     found = runs(h, ends)
                     out.append(found)
                     docs += [doc] * len(found[0])
-                    keys += [key] * len(found[0])
+                    keys.append(np.full(len(found[0]), key, dtype=np.int32))
             if out:
-                yield {"doc": docs, "key": keys} | dict(zip(("first", "n", "a", "b", "again"), (np.concatenate(x) for x in zip(*out))))
+                yield {"doc": docs, "key": np.concatenate(keys)} | dict(zip(("first", "n", "a", "b", "again"), (np.concatenate(x) for x in zip(*out))))
 
         return run
 
@@ -144,7 +144,7 @@ def text_hash(text: Column) -> Column:
 def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_doc, _key, _spans): of each document the runs that aren't the first of their kind."""
     rows = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).withColumn("key", text_hash(F.col("text")))
-    found = written(spans(rows.select("doc", "key", "text")), "runs")
+    found = written(spans(rows.select("doc", "key", "text")), "runs", "zstd")
     firsts = found.groupBy("a", "b").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where(F.col("c") > 1).drop("c")
     firsts = written(firsts, "repeated-runs")  # as a table of its own, so that Spark may split the join at a very frequent run
     others = found.join(firsts, ["a", "b"]).where(F.col("again") | ~F.col("doc").eqNullSafe(F.col("least")))
