@@ -24,6 +24,8 @@ from .common import claim, exists, map_batches, shared_folder, text_key, text_of
 from .tokens import ChunkEncoder, tokenizer_path, tokenizer_version
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
+#: Chunks of texts that a worker's encoder keeps.
+CHUNKS = 400_000
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -32,7 +34,7 @@ def encoder(name: str, spaced: bool) -> ChunkEncoder:
     claim("encoder", _encoders.clear)
     if name not in _encoders:
         _encoders.clear()
-        _encoders[name] = ChunkEncoder(name, spaced)
+        _encoders[name] = ChunkEncoder(name, spaced, limit=CHUNKS)
     return _encoders[name]
 
 
