@@ -20,6 +20,9 @@ def test_encoder_equals_library(name, spaced):
     tok = Tokenizer.from_file(tokenizer_path(name))
     r = random.Random(1)
     texts = ODD + ["".join(r.choice(["a", "B", "1", " ", "\n", "\t", "'s", "é", "́", ".", ",", "　", "中", "<|endoftext|>", "<|", "|>", "\xa0", "'", "s ", "_", "Wort "]) for _ in range(50)) for _ in range(400)]
+    latin = ["a", "É", "ß", "ÿ", "×", "÷", "9", "  ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x7f", "\0", "'", "'LL", "'re", "'s", "-", ".,", "Und", " Ñ"]
+    texts += ["".join(r.choice(latin) for _ in range(60)) for _ in range(600)]
+    texts += ["".join(r.choice([*latin, "ª", "µ", "²", "\x85", "ı", "е"]) for _ in range(60)) for _ in range(200)]
     small = ChunkEncoder(name, spaced, limit=40)
     for at in range(0, len(texts), 50):
         for t, ids in zip(texts[at : at + 50], small.encode(texts[at : at + 50])):
